@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash
 from .common import table
 
 
@@ -15,12 +15,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles, linked at 4 differing bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document's text, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op5_simhash": op5_simhash,
     "op9_bpe": op9_bpe,
 }
 
