@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, langid, simhash
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id's crc32 isn't divisible by 5."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every document's text, as digests."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -33,6 +38,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
 }
 
