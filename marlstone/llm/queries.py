@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, simhash
+from . import bpe, decontaminate, langid, simhash, warc
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written, read back and merged into an ordered index."""
+    rows = warc.captures(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured_at", "offset", "length")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose id's crc32 isn't divisible by 5."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -38,6 +44,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
 }
