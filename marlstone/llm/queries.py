@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, simhash, warc
+from . import bpe, chat, decontaminate, langid, simhash, warc
 from .common import table
 
 
@@ -41,13 +41,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
 }
 
 #: DuckDB SQL of the operators that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_chat": chat.ORACLE,
+}
