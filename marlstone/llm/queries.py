@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, langid, line_dedup, lm_scoring, simhash, warc
+from . import bpe, chat, decontaminate, html_text, langid, line_dedup, lm_scoring, media, simhash, warc
 from .common import table
 
 
@@ -48,6 +48,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured_at", "offset", "length")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy groups among pictures drawn from the embeddings, the only table of fixed-size numeric content."""
+    pictures = media.render_vectors(table(spark, sf_dir, "embeddings"), "embedding", ("vec_id",))
+    return media.copies(pictures, F.col("media"), "vec_id")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose id's crc32 isn't divisible by 5."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -70,6 +76,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_media": op7_media,
     "op8_langid": op8_langid,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
