@@ -2,7 +2,7 @@
 
 Two fingerprints that differ in at most r bits agree on all but r of m bit blocks. So for each choice of m - r blocks the
 distinct fingerprints are dealt by those bits; each shard gets a BK-tree and is searched along edges within the radius.
-m is the cheapest for the number of distinct fingerprints; any m finds every link. A shard of more than ``SHARD``
+Any m finds every link; ``BLOCKS`` keeps shards of random fingerprints small up to some 10^10 of them. A shard of more than ``SHARD``
 fingerprints is split, and each part's tree meets each part's queries in a cell of its own. A cell sends on a spanning
 forest of its links, never all pairs: components need no more. Equal fingerprints are one node from the start.
 
@@ -31,6 +31,10 @@ from .components import components
 
 #: Fingerprints of a shard's tree, at most.
 SHARD = 4096
+#: Bit blocks: 35 choices of three, with 27 bits each.
+BLOCKS = 7
+#: Large shards that are told to all tasks at once; beyond, they are joined.
+BROADCAST_ROWS = 100_000
 #: Rows that a task gets in the search, about.
 TASK_ROWS = 200_000
 
@@ -72,17 +76,12 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 4, keep: tuple[
     return source.mapInArrow(run, out)
 
 
-def masks(distinct: int, radius: int, bits: int = 64) -> list[int]:
+def masks(radius: int, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
     """Bit masks such that fingerprints within the radius agree under one of them at least."""
-
-    def cost(m: int) -> float:
-        return math.comb(m, radius) * (1 + distinct / 2 ** (bits * (m - radius) / m) / 16)
-
-    m = min(range(radius + 1, radius + 9), key=cost)
-    edge = [round(i * bits / m) for i in range(m + 1)]
-    block = [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in range(m)]
+    edge = [round(i * bits / blocks) for i in range(blocks + 1)]
+    block = [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(block, m - radius)]
+    return [signed(sum(c)) for c in combinations(block, blocks - radius)]
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -113,16 +112,15 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[label[linked]])], names=["a", "b"])
 
 
-def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) that connect just what fingerprints (``fp``, distinct) within the radius connect."""
     spark = distinct.sparkSession
     common.ship(spark)
-    n = distinct.count()
-    chosen = masks(n, radius)
-    dealt = distinct.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("choice", "shard")
-    )
-    large = dealt.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
+    chosen = masks(radius, blocks)
+    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("choice", "shard"))
+    large = common.written(dealt.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "large")
+    # Rarely more than a few shards are large; then nothing is shuffled to tell them.
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     dealt = dealt.join(large, ["choice", "shard"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / shard).cast("int"))
     cells = (
         dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int"))
@@ -132,7 +130,7 @@ def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame
             (F.col("own") >= F.col("with")).alias("in_tree"), (F.col("own") <= F.col("with")).alias("asks"), "fp",
         )
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * len(chosen) / TASK_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() * len(chosen) / TASK_ROWS))
     return cells.repartition(parts, "choice", "shard", "part", "other").mapInArrow(partial(_search, radius=radius), "a long, b long")
 
 
