@@ -246,3 +246,12 @@ def identify(docs: DataFrame) -> DataFrame:
     model = fit(docs, fold(F.col("doc_id")) != 0)
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language isn't rejected."""
+    model = fit(docs, fold(F.col("doc_id")) != 0, text)
+    own = docs.columns
+    names = [f"__c{i}" for i in range(len(own))]
+    rows = predict(docs.toDF(*names), model, names[own.index(text)], tuple(names))
+    return rows.where(~F.col("rejected")).select(*names).toDF(*own)

@@ -145,3 +145,16 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = 4, radius: i
     return docs.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(df: DataFrame, text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``df``, with all columns, one of each component: that with the smallest doc_id.
+
+    Of rows that repeat this id one stays. Rows without an id can't be told apart and stay.
+    """
+    found = near_duplicates(df.select("doc_id", F.col(text).alias("text")), "text", words, radius)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    named, nameless = df.where(F.col("doc_id").isNotNull()), df.where(F.col("doc_id").isNull())
+    # A hint for one plan at every size: texts and ids meet in sorted partitions, where repeated ids lie side by side.
+    kept = named.join(first.hint("merge"), named.doc_id == first["__first"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(nameless)
