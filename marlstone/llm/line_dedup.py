@@ -179,7 +179,9 @@ def overlaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     lines = common.written(_keyed(docs, doc_id, text).mapInArrow(_lines, _LINES), "lines")
     holder = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "idx", "many")
     first = lines.groupBy("h1", "h2", "k").agg(F.min(holder).alias("e"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    shared = lines.join(first, ["h1", "h2", "k"]).where(~(F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("th") == F.col("e.th"))))
+    # Written, so that both sides are plain exchanges: a line that very many documents hold can then be split.
+    first = common.written(first, "first")
+    shared = lines.join(first.hint("merge"), ["h1", "h2", "k"]).where(~(F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("th") == F.col("e.th"))))
     rows = shared.select(
         "doc_id", "th", "idx", "words", ((F.col("many") == 1) & (F.col("e.many") == 1)).alias("once"), "holders",
         F.col("e.doc_id").alias("e_doc"), F.col("e.th").alias("e_th"), F.col("e.idx").alias("e_idx"),
@@ -205,7 +207,7 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _joined(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     f = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("spans").alias("__spans"), F.col("words").alias("__words"), F.col("partners").alias("__partners"))
     key = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__h"))
-    return docs.join(f, key, "left").drop("__d", "__h")
+    return docs.join(f.hint("merge"), key, "left").drop("__d", "__h")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
