@@ -1 +1 @@
-"""Functions of the listing engine."""
+"""Column functions: parsing of raw text, tagged outcomes, checks of codes."""

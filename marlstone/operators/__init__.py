@@ -1 +1 @@
-"""Operators of the listing engine."""
+"""The engine's operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""Plans of the listing engine."""
+"""Whole plans: the local search from files to bytes, and the catalog of queries."""

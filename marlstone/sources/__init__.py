@@ -1 +1 @@
-"""Sources of the listing engine."""
+"""Sources and sinks: strict JSON documents, Parquet tables, the versioned store."""
