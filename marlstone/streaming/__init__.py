@@ -1 +1 @@
-"""Streaming of the listing engine."""
+"""Continuous ingest of observations."""

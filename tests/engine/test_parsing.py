@@ -1,0 +1,81 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.functions import parsing
+from marlstone.operators import normalize
+from tests.engine.builders import raw
+
+
+def parsed(spark, f, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", f(F.col("v")).alias("r")).orderBy("i").collect()
+    return [r.r.code or r.r.value for r in rows]
+
+
+def test_moments(spark):
+    utc = lambda *a: dt.datetime(*a)
+    good = {
+        "2026-02-03T10:15:30.123456+03:00": utc(2026, 2, 3, 7, 15, 30, 123456), "2026-02-03T00:00:00Z": utc(2026, 2, 3), "2026-02-03T23:59:59.5-23:59": utc(2026, 2, 4, 23, 58, 59, 500000),
+        "2026-02-03T00:00:00-00:00": utc(2026, 2, 3), "0001-01-01T00:00:00Z": utc(1, 1, 1), "9999-12-31T23:59:59.999999Z": utc(9999, 12, 31, 23, 59, 59, 999999),
+        "2024-02-29T00:00:00Z": utc(2024, 2, 29),
+    }
+    c = F.col("v")
+    rows = spark.createDataFrame([(v,) for v in good], "v string").select(parsing.rendered_moment(parsing.moment(c)["value"]).alias("t"), parsing.moment(c)["code"].alias("c")).collect()
+    assert [(r.t, r.c) for r in rows] == [(t.isoformat(timespec="microseconds") + "Z", None) for t in good.values()]
+    bad = [
+        "", "2026-02-03", "2026-02-03T00:00:00", "2026-02-03 00:00:00Z", "2026-02-30T00:00:00Z", "2025-02-29T00:00:00Z", "0000-01-01T00:00:00Z", "2026-02-03T24:00:00Z", "2026-02-03T00:60:00Z",
+        "2026-02-03T00:00:60Z", "2026-02-03T00:00:00.1234567Z", "2026-02-03T00:00:00.Z", "2026-02-03T00:00:00+24:00", "2026-02-03T00:00:00+01:60", "2026-02-03T00:00:00+0100", "2026-02-03T00:00:00z",
+        "2026-02-03T00:00:00Z\n", "0001-01-01T00:00:00+00:01", "9999-12-31T23:59:59-00:01", "2026-13-01T00:00:00Z",
+    ]
+    assert parsed(spark, parsing.moment, bad) == ["invalid_value"] * len(bad)
+
+
+@pytest.mark.parametrize(
+    ("f", "cases"),
+    [
+        (parsing.price, {"1": 100, "1.5": 150, "0.01": 1, "007.10": 710, "92233720368547758.07": 2**63 - 1, "92233720368547758.08": "out_of_range", "0": "out_of_range", "-1": "out_of_range", "-0.00": "out_of_range",
+                         "1.234": "invalid_value", "1.": "invalid_value", ".5": "invalid_value", "+1": "invalid_value", " 1": "invalid_value", "1\n": "invalid_value", "": "invalid_value", "1e3": "invalid_value", "٣": "invalid_value", "9" * 400: "out_of_range"}),
+        (parsing.area, {"40": 4000, "52.50": 5250, "1.5000": 150, "0.001": "precision_loss", "-1.001": "precision_loss", "-1": "out_of_range", "0.00": "out_of_range", "1.": "invalid_value", "x": "invalid_value", "00.010": 1}),
+        (parsing.rooms, {"studio": 0, "1": 1, "99": 99, "007": 7, "0": "invalid_value", "000": "invalid_value", "100": "out_of_range", "00100": "out_of_range", "Studio": "invalid_value", "1.0": "invalid_value", "-1": "invalid_value", "9" * 60: "out_of_range"}),
+        (parsing.currency, {"RUB": "RUB", "USD": "USD", "rub": "invalid_value", "RU": "invalid_value", "RUB\n": "invalid_value", "РУБ": "invalid_value"}),
+        (parsing.location, {"  a   b ": "a b", "a\u2003b\x1cc\x85d\xa0e": "a b c d e", "x" * 500: "x" * 500, "x" * 501: "invalid_value", " \t\n": "invalid_value", "": "invalid_value", "é" * 500: "é" * 500, "🙂" * 500: "🙂" * 500}),
+        (parsing.url, {u: u for u in ("https://h/x", "HTTPS://h", "https://h:443/x?y=1", "https://h:/x", "https://h/x#", "https://h?q", "https://[::1]:8/x", "https://h:65535")}
+                      | dict.fromkeys(("http://h", "https://", "https:///x", "https://h/ x", "https://u@h", "https://u:p@h", "https://h/#f", "https://h:x", "https://h:65536", "https://h/é", "", "h", "https://h/" + "x" * 2048, "https://h\t/", "https://[h"), "invalid_value")),
+    ],
+)
+def test_values_and_codes(spark, f, cases):
+    assert parsed(spark, f, list(cases)) == list(cases.values())
+
+
+def test_source_urls_and_rendered_areas(spark):
+    host = "https://listings.fixture.example/offers/"
+    cases = [(f"{host}a", "a", True), (f"{host}a", "b", False), (f"{host}a?x", "a", False), (f"{host}a#", "a", False), (f"{host}a/", "a", False), ("http" + host[5:] + "a", "a", False), (f"{host}a", "bad id", True), (f"{host}é", "é", False), (host, "", False), (f"{host}a\n", "a", True)]
+    df = spark.createDataFrame([(i, u, p) for i, (u, p, _) in enumerate(cases)], "i int, u string, p string").orderBy("i")
+    assert [r.v for r in df.select(parsing.source_url(F.col("u"), F.col("p")).alias("v")).collect()] == [x[2] for x in cases]
+    values = [1, 10, 100, 4000, 5250, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select(parsing.rendered_area(F.col("v")).alias("t"))
+    assert [r.t for r in df.collect()] == [f"{v // 100}.{v % 100:02d}" for v in values]
+
+
+def test_opaque_codes(spark):
+    cases = {"a@1": True, "~" * 128: True, "~" * 129: False, "": False, "a b": False, "é": False, "a\n": False}
+    df = spark.createDataFrame([(c,) for c in cases], "v string").select(parsing.opaque_code(F.col("v")).alias("t"))
+    assert [r.t for r in df.collect()] == list(cases.values())
+
+
+def test_every_issue_of_a_record_and_money_in_pairs(spark):
+    rows = raw(
+        spark, {"observed_at": "x", "url": "x", "location_text": " ", "price_major": "x", "currency": "x", "total_area_sqm": "x", "rooms": "x"},
+        {"price_major": "x"}, {"currency": "USD", "price_major": "1"}, {},
+    )
+    got = {r.record_index: r for r in normalize.normalized(rows).collect()}
+    assert sorted(i.json_path.rpartition(".")[2] for i in got[0].issues) == ["currency", "location_text", "observed_at", "price_major", "rooms", "total_area_sqm", "url"]
+    assert [(i.json_path, i.code) for i in got[1].issues] == [("$.listings[1]", "incomplete_money")]
+    assert got[2].currency.state == "unsupported" and got[2].currency.reason_code == "unsupported_currency" and got[2].currency.value is None and got[2].price_amount.value == 100
+    assert {got[3][f].state for f in ("location_text", "price_amount", "currency", "total_area", "rooms")} == {"missing"} and got[3].issues == []
+
+
+def test_normalization_is_one_projection_without_python(spark):
+    plan = normalize.normalized(raw(spark, {}))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
