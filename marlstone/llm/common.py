@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; bounds the worker's memory whatever the row sizes are.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _shipped: set[str] = set()
 
@@ -62,19 +65,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_rows(df: DataFrame, limit_bytes: int, size: Column) -> list | None:
-    """All rows of a table that is measured first, or None if it is larger than ``limit_bytes``."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return df.collect() if total <= limit_bytes else None
+def settle() -> None:
+    """Give a task's memory back: a worker outlives its tasks, and executors are sized for what a task needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of Arrow batches with about ``limit`` bytes of text each (one row at least), with the column's bytes or None."""
+    held: list = []
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         values = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()) if not pa.types.is_binary(col.type) else col
-        start, size = 0, 0
-        held: list = []
+        start, size, held = 0, 0, []
         for i in range(len(values)):
             v = values[i].as_py()
             held.append(v)
@@ -84,3 +89,5 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
                 start, size, held = i + 1, 0, []
         if held:
             yield batch.slice(start), held
+    del held
+    settle()

@@ -145,7 +145,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     for block in _blocks(benchmark, item, item_text):
         rows = [(r.item, r.text) for r in block.collect()]
         held.append(spark.sparkContext.broadcast(rows))
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    column = text if text in keep else "__text"  # a text that is kept travels once
+    source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = T.StructType([
         *docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)),
@@ -154,7 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = [Windows(b.value, window) for b in held] if len(held) == 1 else None
-        for rows, texts in common.chunks(batches, "__text", SHARD_BYTES):
+        for rows, texts in common.chunks(batches, column, SHARD_BYTES):
             sizes, spans = None, [[] for _ in texts]
             names: list[set[str]] = [set() for _ in texts]
             for w in windows or (Windows(b.value, window) for b in held):
@@ -165,7 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                         names[k].update(w.names[i] for i in items[k] if w.names[i] is not None)
             joined = [merged(np.concatenate(s)) if s else [] for s in spans]
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:-1], pa.array(sizes, pa.int64()),
+                [*rows.columns[: len(keep)], pa.array(sizes, pa.int64()),
                  pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in joined], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array([sorted(n) for n in names], pa.list_(pa.string()))],
                 names=out.names,

@@ -225,7 +225,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     spark = docs.sparkSession
     common.ship(spark)
     sent = spark.sparkContext.broadcast((model, (model.embedding @ model.output).astype(np.float32)))
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    column = text if text in keep else "__text"  # a text that is kept travels once
+    source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
     out = T.StructType([
         *docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType()),
@@ -233,10 +234,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = sent.value
-        for rows, texts in common.chunks(batches, "__text"):
+        for rows, texts in common.chunks(batches, column):
             label, score = own.predict(texts, table)
             rejected = [x == UNKNOWN or s < own.reject_below for x, s in zip(label, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], names=out.names)
 
     return source.mapInArrow(run, out)
 

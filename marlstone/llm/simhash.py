@@ -35,6 +35,8 @@ SHARD = 4096
 BLOCKS = 7
 #: Large shards that are told to all tasks at once; beyond, they are joined.
 BROADCAST_ROWS = 100_000
+#: Hashes whose bits are laid out at once.
+BITS_AT_ONCE = 1 << 14
 #: Rows that a task gets in the search, about.
 TASK_ROWS = 200_000
 
@@ -42,23 +44,18 @@ TASK_ROWS = 200_000
 def fingerprint_of(texts: list[bytes | None], words: int) -> np.ndarray:
     """Fingerprints of texts in UTF-8."""
     digest = partial(xxhash.xxh64_intdigest, seed=42)
-    hashes, sizes = [], []
-    for t in texts:
-        own = t.lower().split() if t else []
-        if len(own) <= words:
-            made = [digest(b" ".join(own))] if own else []
-        else:
-            made = list(map(digest, map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))))
-        hashes.append(np.array(made, dtype=np.uint64))
-        sizes.append(len(made))
-    sizes = np.array(sizes)
     out = np.zeros(len(texts), dtype=np.uint64)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = (np.cumsum(sizes) - sizes)[some]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[some] = np.packbits(ones * 2 > sizes[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for k, t in enumerate(texts):
+        own = t.lower().split() if t else []
+        if not own:
+            continue
+        made = [b" ".join(own)] if len(own) <= words else map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
+        hashes = np.fromiter(map(digest, made), dtype=np.uint64)
+        ones = np.zeros(64, dtype=np.int64)
+        for a in range(0, len(hashes), BITS_AT_ONCE):
+            bits = np.unpackbits(hashes[a : a + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int32)
+        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
     return out
 
 
