@@ -1,7 +1,6 @@
 """Duplicate candidates by exact blocking: two passes, whole buckets left out where they would make too many pairs.
 
-Buckets are counted before anything is paired, so a large one costs a count. Pairs come from an equi join on the blocking
-key with the order of references as a residual; no plan here has a product. Input: source_id, publication_id,
+Buckets are counted before anything is paired, so a large one costs a count; no plan here has a product. Input: source_id, publication_id,
 observed_at and the outcomes total_area, rooms and location_text, one row per current available publication.
 """
 
@@ -62,26 +61,38 @@ def oversized(members: DataFrame, limit: int) -> DataFrame:
     return buckets(members).where(F.col("pairs") > limit).withColumn("reason_code", F.lit(policies.OVERSIZED))
 
 
-def same_key(a: str, b: str) -> Column:
-    """Equality of blocking keys; a pass leaves one component null on both sides."""
-    parts = [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in BLOCK]
-    return parts[0] & parts[1] & parts[2] & parts[3]
+def _keyed(members: DataFrame) -> DataFrame:
+    """Members with join columns that are never null: a pass leaves one component out, and rule_pos tells the passes apart.
+
+    Plain equality keeps one hash partitioning through the count, the semi join and the self join.
+    """
+    return members.withColumns({"_rooms": F.coalesce("rooms", F.lit(-1)), "_text": F.coalesce("location_text", F.lit(""))})
+
+
+_JOIN = ("rule_pos", "total_area", "_rooms", "_text")
 
 
 def candidates(members: DataFrame, limit: int) -> DataFrame:
     """Pairs that share a bucket within the limit, each once, with the keys that they share in order of the passes.
 
-    A bucket of the limit L has at most (1 + sqrt(1 + 8 L)) / 2 members, so no key of this join is hot, whatever the data.
+    A bucket of the limit L has at most (1 + sqrt(1 + 8 L)) / 2 members, so its members fit in one value, and pairing
+    them needs no self join: members are shuffled once by key, pairs once by identity.
     """
-    usable = buckets(members).where((F.col("pairs") <= limit) & (F.col("members") > 1)).select(*BLOCK)
-    kept = members.alias("m").join(usable.alias("u"), same_key("m", "u"), "left_semi")
-    left, right = kept.alias("l"), kept.alias("r")
-    ref = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in REF])
-    pairs = left.join(right, same_key("l", "r") & (ref("l") < ref("r"))).select(
-        F.col("l.source_id").alias("left_source_id"), F.col("l.publication_id").alias("left_publication_id"),
-        F.col("r.source_id").alias("right_source_id"), F.col("r.publication_id").alias("right_publication_id"),
-        F.col("l.observed_at").alias("left_at"), F.col("r.observed_at").alias("right_at"),
-        F.struct(*[F.col(f"l.{k}") for k in BLOCK]).alias("match"),
+    keyed = _keyed(members)
+    n = F.col("members")
+    usable = keyed.groupBy(*_JOIN).agg(F.count(F.lit(1)).alias("members")).where((n > 1) & (F.shiftright(n * (n - 1), 1) <= limit)).select(*_JOIN)
+    kept = keyed.join(usable, list(_JOIN), "left_semi")
+    member = F.struct(F.struct(*REF).alias("ref"), F.col("observed_at").alias("at"))
+    lists = kept.groupBy(*_JOIN).agg(F.sort_array(F.collect_list(member)).alias("all"))
+    left = lists.select("*", F.posexplode("all").alias("i", "l"))
+    both = left.select("*", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("r")).where("l.ref < r.ref")
+    match = F.struct(
+        F.col("rule_pos"), F.col("total_area"), F.when(F.col("rule_pos") == 0, F.col("_rooms")).alias("rooms"), F.when(F.col("rule_pos") == 1, F.col("_text")).alias("location_text")
+    )
+    pairs = both.select(
+        F.col("l.ref.source_id").alias("left_source_id"), F.col("l.ref.publication_id").alias("left_publication_id"),
+        F.col("r.ref.source_id").alias("right_source_id"), F.col("r.ref.publication_id").alias("right_publication_id"),
+        F.col("l.at").alias("left_at"), F.col("r.at").alias("right_at"), match.alias("match"),
     )
     return pairs.groupBy(*IDENTITY).agg(F.sort_array(F.collect_set("match")).alias("matches"))
 

@@ -107,7 +107,7 @@ def append(history: DataFrame, candidates: DataFrame, policies_of: DataFrame | N
         other = policies_of.where(F.col("policy_version") != policy).select(*REF).distinct()
         found.append(other.select(*_conflict("comparison_policy_mismatch", F.lit("publication"), F.lit(None).cast("timestamp"))))
         single = single.join(other, list(REF), "left_anti")
-    # One shuffle by publication serves both the latest moment and the equal key.
+    # The latest moment is a pre-aggregated table; the equal key joins on the whole key, which spreads long histories.
     latest = known.groupBy(*REF).agg(F.max("observed_at").alias("latest"))
     old = known.select(*KEY, F.struct(*CONTENT).alias("old"))
     judged = single.join(latest, list(REF), "left").join(old, list(KEY), "left")
