@@ -28,8 +28,8 @@ from . import common
 
 #: The largest tokenizer file that is sent to every executor.
 MAX_MODEL_BYTES = 64 << 20
-#: Words remembered by a worker before it forgets them all.
-CACHE_WORDS = 400_000
+#: Words, and pairs of tokens, that a task remembers before it forgets them all.
+CACHE_WORDS, CACHE_PAIRS = 450_000, 300_000
 #: Text of more characters is cut into words piece by piece.
 LONG_TEXT = 1 << 20
 #: The split pattern of byte-level pre-tokenization.
@@ -90,9 +90,10 @@ class Encoder:
                 bad.add(t)
         self.known = {x: t for x, t in self.own.items() if t not in bad}
         self.longest = max(map(len, self.known))
-        self.reach: dict[bytes, int] = {}  # the longest token by its first two bytes
+        self.reach: dict[bytes, int] = {}  # the longest token by its first four bytes
         for x in self.known:
-            self.reach[x[:2]] = max(len(x), self.reach.get(x[:2], 1))
+            if len(x) > 3:
+                self.reach[x[:4]] = max(len(x), self.reach.get(x[:4], 0))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
             raise ValueError("special tokens that take up their surroundings aren't handled")
@@ -100,7 +101,7 @@ class Encoder:
         by_length = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.words = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def _crossed(self, x: np.ndarray, y: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """For pairs of tokens: does a merge cross their border (before the merge ``until``, if given)?"""
@@ -127,7 +128,7 @@ class Encoder:
         if (t := known.get(word)) is not None:
             return [t]
         while at < n:
-            stop = min(n, at + reach.get(word[at : at + 2], 1))
+            stop = min(n, at + reach.get(word[at : at + 4], 3))
             while (t := known.get(word[at:stop])) is None:
                 stop -= 1
             out.append(t)
@@ -180,11 +181,11 @@ class Encoder:
         unknown = np.array([p for p in pair.tolist() if p not in memo], dtype=np.int64)
         memo.update(zip(unknown.tolist(), self._crossed(unknown // self.n, unknown % self.n).tolist(), strict=True))
         wrong = np.fromiter(map(memo.__getitem__, pair.tolist()), dtype=bool, count=len(pair))
-        for w in np.unique(word[near[wrong[back]]]).tolist():
-            guesses[w] = self.merge(raws[w])
-        ids, cache = self.ids.tolist(), self.cache
-        for w, g in zip(new, guesses, strict=True):
-            cache[w] = tuple([ids[t] for t in g])
+        cache, all_ids = self.cache, self.ids[flat].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        cache.update((w, all_ids[a:b]) for w, a, b in zip(new, [0, *ends], ends, strict=False))
+        for k in np.unique(word[near[wrong[back]]]).tolist():
+            cache[new[k]] = self.ids[self.merge(raws[k])].astype(np.int32).tobytes()
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= LONG_TEXT:
@@ -204,7 +205,7 @@ class Encoder:
             cut.append(own)
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        if len(self.pairs) > 4 * CACHE_WORDS:
+        if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
         new = set()
         for own in cut:
@@ -214,8 +215,12 @@ class Encoder:
         if new := [w for w in new if w not in self.cache]:
             self.learn(new)
         get = self.cache.__getitem__
-        each = lambda own: chain.from_iterable([p] if isinstance(p, int) else chain.from_iterable(map(get, p)) for p in own)
-        return [np.fromiter(each(own), dtype=np.int32) for own in cut]
+        each = lambda own: chain.from_iterable([p.to_bytes(4, "little")] if isinstance(p, int) else map(get, p) for p in own)
+        return [np.frombuffer(b"".join(each(own)), dtype="<i4") for own in cut]
+
+    def forget(self) -> None:
+        """Let go what was learned from texts; a worker outlives its task."""
+        self.cache, self.pairs = {}, {}
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -226,10 +231,12 @@ _encoders: dict[int, Encoder] = {}
 
 def _encoder(broadcast) -> Encoder:
     """One encoder a worker; the worker outlives its tasks."""
-    if broadcast.id not in _encoders if hasattr(broadcast, "id") else id(broadcast) not in _encoders:
+    blob = broadcast.value
+    key = hash(blob)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[getattr(broadcast, "id", id(broadcast))] = Encoder(broadcast.value)
-    return _encoders[getattr(broadcast, "id", id(broadcast))]
+        _encoders[key] = Encoder(blob)
+    return _encoders[key]
 
 
 def model_broadcast(spark, path: str):
@@ -249,16 +256,18 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
     """``keep`` and ``ids`` (array of int) of every row; no shuffle, one pass."""
     common.ship(df.sparkSession)
     model = model_broadcast(df.sparkSession, tokenizer)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    column = text if text in keep else "__text"  # a text that is kept travels once
+    source = df.select(*keep) if column == text else df.select(*keep, F.col(text).alias(column))
     out = _with(df.select(*keep).schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for rows, texts in common.chunks(batches, "__text"):
+        for rows, texts in common.chunks(batches, column):
             made = encoder.encode([(t or b"").decode() for t in texts])
             ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
             col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made), pa.int32()))
             yield pa.RecordBatch.from_arrays([rows.column(i) for i, n in enumerate(rows.schema.names) if n not in ("__text", ids)] + [col], names=out.names)
+        encoder.forget()
 
     return source.mapInArrow(run, out)
 
