@@ -6,6 +6,11 @@ Any m finds every link; ``BLOCKS`` keeps shards of random fingerprints small up
 fingerprints is split, and each part's tree meets each part's queries in a cell of its own. A cell sends on a spanning
 forest of its links, never all pairs: components need no more. Equal fingerprints are one node from the start.
 
+``similar`` is the wide form, for a Jaccard similarity of shingle sets: such pairs may differ in a dozen bits, which no choice
+of blocks can find. There the trees' shards are the documents with an equal least hash in one of ``KEYS`` ranges of the
+hash space (of pairs with similarity 0.8, all but about 3 in a million share one), the trees are searched at ``WIDE`` bits,
+and a match counts if the least hashes in ``BINS`` finer ranges agree often enough. Everything else is the same.
+
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle make
 one shingle; repeated rows give repeated result rows; a null doc_id is never the smallest unless all of a component are
 null; columns other than doc_id and text aren't read.
@@ -37,28 +42,59 @@ BLOCKS = 7
 BROADCAST_ROWS = 100_000
 #: Hashes whose bits are laid out at once.
 BITS_AT_ONCE = 1 << 14
+#: The wide form: ranges that shards come from, finer ranges that signatures come from, bits that may differ.
+KEYS, BINS, WIDE = 8, 64, 16
+NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: An estimate may fall short of the similarity by so much (about one and a half standard deviations).
+SHORT = 0.08
 #: Rows that a task gets in the search, about.
 TASK_ROWS = 200_000
 
 
+def hashes_of(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of the shingles, repeats included; none for a text without words."""
+    own = text.lower().split() if text else []
+    if not own:
+        return np.zeros(0, dtype=np.uint64)
+    made = [b" ".join(own)] if len(own) <= words else map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
+    return np.fromiter(map(_digest, made), dtype=np.uint64)
+
+
+_digest = partial(xxhash.xxh64_intdigest, seed=42)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least hash in each of ``BINS`` equal ranges; the largest number where a range has none."""
+    out = np.full(BINS, NO_HASH, dtype=np.uint64)
+    np.minimum.at(out, (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), hashes)
+    return out
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity from signatures (rows of 16-bit digests, 0 for an empty range): agreeing of used ranges."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+
+
 def fingerprint_of(texts: list[bytes | None], words: int) -> np.ndarray:
     """Fingerprints of texts in UTF-8."""
-    digest = partial(xxhash.xxh64_intdigest, seed=42)
     out = np.zeros(len(texts), dtype=np.uint64)
     for k, t in enumerate(texts):
-        own = t.lower().split() if t else []
-        if not own:
-            continue
-        made = [b" ".join(own)] if len(own) <= words else map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
-        hashes = np.fromiter(map(digest, made), dtype=np.uint64)
-        ones = np.zeros(64, dtype=np.int64)
-        for a in range(0, len(hashes), BITS_AT_ONCE):
-            bits = np.unpackbits(hashes[a : a + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int32)
-        out[k] = np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+        out[k] = fingerprint(hashes_of(t, words))
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """Each bit by the majority of the hashes' bits; 0 for no hash."""
+    if not len(hashes):
+        return np.uint64(0)
+    ones = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), BITS_AT_ONCE):
+        bits = np.unpackbits(hashes[a : a + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``fp`` (the fingerprint's bits as a long) of every row; one pass, no shuffle."""
     common.ship(df.sparkSession)
@@ -81,8 +117,8 @@ def masks(radius: int, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
     return [signed(sum(c)) for c in combinations(block, blocks - radius)]
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the links in the cells of a task. Rows: choice, shard, part, other, in_tree, asks, fp."""
+def _search(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links in the cells of a task. Rows: choice, shard, part, other, in_tree, asks, fp and, for the wide form, sig."""
     got = [b for b in batches if len(b)]
     if not got:
         return
@@ -92,6 +128,8 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     fp = col["fp"].view(np.uint64)
     order = np.lexsort((fp, col["other"], col["part"], col["shard"], col["choice"]))
     fp, tree, asks = fp[order], tree[order], asks[order]
+    if similarity is not None:
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, BINS)[order]
     new = np.zeros(len(fp), dtype=bool)
     new[0] = True
     for n in ("choice", "shard", "part", "other"):
@@ -102,7 +140,13 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     forest = Forest(cell[node], fp[node])
     label = np.arange(len(fp))
     for q, t in forest.near(cell[query], fp[query], radius):
-        label = join_labels(label, query[q], node[t])
+        a, b = query[q], node[t]
+        if similarity is not None:
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+            close = np.concatenate([agreement(sig[a[k : k + 65536]], sig[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= similarity - SHORT
+            a, b = a[close], b[close]
+        label = join_labels(label, a, b)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     if len(linked):
         signed = fp.view(np.int64)
@@ -111,10 +155,15 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b) that connect just what fingerprints (``fp``, distinct) within the radius connect."""
-    spark = distinct.sparkSession
+    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius, blocks)])).alias("choice", "shard"))
+    return _linked(dealt, distinct.count() * math.comb(blocks, radius), partial(_search, radius=radius), shard)
+
+
+def _linked(dealt: DataFrame, rows: int, search, shard: int) -> DataFrame:
+    """The search over dealt rows (choice, shard, fp and what else it needs), large shards in cells."""
+    spark = dealt.sparkSession
     common.ship(spark)
-    chosen = masks(radius, blocks)
-    dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("choice", "shard"))
+    more = [c for c in dealt.columns if c not in ("choice", "shard")]
     large = common.written(dealt.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "large")
     # Rarely more than a few shards are large; then nothing is shuffled to tell them.
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
@@ -124,32 +173,64 @@ def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD, blocks: int
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
             "choice", "shard", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"),
-            (F.col("own") >= F.col("with")).alias("in_tree"), (F.col("own") <= F.col("with")).alias("asks"), "fp",
+            (F.col("own") >= F.col("with")).alias("in_tree"), (F.col("own") <= F.col("with")).alias("asks"), *more,
         )
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(distinct.count() * len(chosen) / TASK_ROWS))
-    return cells.repartition(parts, "choice", "shard", "part", "other").mapInArrow(partial(_search, radius=radius), "a long, b long")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+    return cells.repartition(parts, "choice", "shard", "part", "other").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
     docs = common.written(fingerprints(df, text, words), "fingerprints")
     nodes = common.written(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    return _named(docs, nodes, components(links(nodes.select("fp"), radius)))
+
+
+def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
+    """The same columns, with documents linked from this Jaccard similarity of their shingle sets on."""
+    common.ship(df.sparkSession)
+    source = df.select("doc_id", F.col(text).alias("__text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in common.chunks(batches, "__text"):
+            fp, keys, sigs = [], [], []
+            for t in texts:
+                hashes = hashes_of(t, words)
+                least = least_hashes(hashes)
+                fp.append(fingerprint(hashes))
+                # A range's key is its least hash; the digest of a finer one is never 0 unless it is empty.
+                keys.append(least.reshape(KEYS, -1).min(axis=1))
+                sigs.append(np.where(least == NO_HASH, 0, (least % np.uint64(65521)) + np.uint64(1)).astype(np.uint16).tobytes())
+            ends = np.arange(0, KEYS * (len(rows) + 1), KEYS)
+            flat = np.concatenate(keys)
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), mask=flat == NO_HASH))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), held, pa.array(sigs, pa.binary())], names=["doc_id", "fp", "keys", "sig"])
+
+    shape = f"doc_id {kind}, fp long, keys array<long>, sig binary"
+    docs = common.written(source.mapInArrow(run, shape), "signatures")
+    # Documents of one fingerprint are one node, with the signature of the first of them.
+    nodes = common.written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("keys", "sig"), F.struct("doc_id", "sig")).alias("s")).select("fp", "first", "s.*"), "nodes")
+    dealt = nodes.select("fp", "sig", F.posexplode("keys").alias("choice", "shard")).where("shard is not null")
+    found = _linked(dealt, nodes.count() * KEYS, partial(_search, radius=radius, similarity=similarity), SHARD)
+    return _named(docs.select("doc_id", "fp"), nodes.select("fp", "first"), components(found))
+
+
+def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Documents with the smallest doc_id of their component; ``nodes``: fp and its smallest doc_id."""
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``df``, with all columns, one of each component: that with the smallest doc_id.
+def representatives(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df``, with all columns, one of each component of ``similar``: that with the smallest doc_id.
 
     Of rows that repeat this id one stays. Rows without an id can't be told apart and stay.
     """
-    found = near_duplicates(df.select("doc_id", F.col(text).alias("text")), "text", words, radius)
+    found = similar(df.select("doc_id", F.col(text).alias("text")), "text", words, similarity)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     named, nameless = df.where(F.col("doc_id").isNotNull()), df.where(F.col("doc_id").isNull())
     # A hint for one plan at every size: texts and ids meet in sorted partitions, where repeated ids lie side by side.

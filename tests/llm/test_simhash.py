@@ -36,6 +36,35 @@ def plain_components(fps, radius):
     return [find(i) for i in range(len(fps))]
 
 
+def shingles(text, words=5):
+    own = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def jaccard_components(sets, similarity):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if not both or len(sets[i] & sets[j]) / len(both) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def edited(rng, base, vocab, share):
+    own = list(base)
+    for k in rng.choice(len(own), round(share * len(own)), replace=False):
+        own[k] = str(rng.choice(vocab))
+    return " ".join(own)
+
+
 def texts():
     rng = np.random.default_rng(3)
     vocab = ["w%d" % i for i in range(400)]
@@ -119,3 +148,37 @@ def test_components_of_chains_stars_and_repeats(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_similar_documents_are_found_and_others_left_alone(spark):
+    rng = np.random.default_rng(8)
+    vocab = ["w%d" % i for i in range(5000)]
+    rows, sets = [], []
+    for _ in range(60):
+        base = list(rng.choice(vocab, 300))
+        for share in (0, 0.005, 0.01, 0.015, 0.02, 0.2):
+            rows.append(edited(rng, base, vocab, share))
+    rows += [rows[0], rows[0].upper(), "short one", "short one", "another short text of seven words", None, ""]
+    sets = [shingles(t) for t in rows]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], DOCS).repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (u := sets[i] | sets[j]) and len(sets[i] & sets[j]) / len(u) >= 0.8]
+    assert sum(got[i] == got[j] for i, j in pairs) / len(pairs) >= 0.97
+    loose = jaccard_components(sets, 0.6)
+    assert all(loose[i] == loose[c] for i, c in got.items())
+
+
+def test_a_large_group_of_similar_documents_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    rng = np.random.default_rng(9)
+    vocab = ["w%d" % i for i in range(5000)]
+    base = list(rng.choice(vocab, 400))
+    rows = [edited(rng, base, vocab, 0.008) for _ in range(150)] + [" ".join(rng.choice(vocab, 200)) for _ in range(50)]
+    got = simhash.similar(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOCS)).collect()
+    assert sorted(r.component_id for r in got) == [0] * 150 + list(range(150, 200))
+
+
+def test_representatives_of_repeated_and_nameless_rows(spark):
+    rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "y"), (None, "a b c d e f", "z"), (9, None, None), (8, "", None)]
+    got = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.fp or "") for r in got) == [(0, "z"), (3, "x"), (8, "")]
