@@ -42,11 +42,27 @@ def field_deltas(before: Column, after: Column, fields: tuple[str, ...] = polici
     return F.array_compact(F.array(*[one(f) for f in fields]))
 
 
-def changes(observations: DataFrame, fields: tuple[str, ...] = policies.CHANGE_FIELDS) -> DataFrame:
-    """A change set for every observation but each publication's first; transitions carry no deltas, and a set may be empty."""
-    w = _stream()
+def _with_previous(observations: DataFrame, spread: str | None) -> DataFrame:
+    """Rows with ``prev``, the publication's observation before.
+
+    ``spread`` (a unit such as month) is for publications with very many observations: the window then runs within a
+    unit of time, and what precedes a unit's first row comes from a table of the units' last rows. So one publication's
+    history is spread over as many tasks as it has units, at the price of one more exchange.
+    """
     now = F.struct("observed_at", *CONTENT)
-    rows = observations.withColumn("prev", F.lag(now).over(w)).where(F.col("prev").isNotNull())
+    if spread is None:
+        return observations.withColumn("prev", F.lag(now).over(_stream()))
+    rows = observations.withColumn("_unit", F.date_trunc(spread, "observed_at"))
+    within = Window.partitionBy(*REF, "_unit").orderBy("observed_at")
+    rows = rows.withColumn("_prev", F.lag(now).over(within))
+    last = rows.groupBy(*REF, "_unit").agg(F.max_by(now, "observed_at").alias("_last"))
+    before = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(*REF).orderBy("_unit")))
+    return rows.join(before, [*REF, "_unit"]).withColumn("prev", F.coalesce("_prev", "_last")).drop("_unit", "_prev", "_last")
+
+
+def changes(observations: DataFrame, fields: tuple[str, ...] = policies.CHANGE_FIELDS, spread: str | None = None) -> DataFrame:
+    """A change set for every observation but each publication's first; transitions carry no deltas, and a set may be empty."""
+    rows = _with_previous(observations, spread).where(F.col("prev").isNotNull())
     was, is_ = F.col("prev.is_available"), F.col("is_available")
     transition = F.when(was & ~is_, "confirmed_unavailable").when(~was & is_, "reappeared")
     return rows.select(

@@ -25,6 +25,12 @@ def test_changes_between_neighbours(spark):
     }
 
 
+@pytest.mark.parametrize("unit", ["hour", "week", "year"])
+def test_long_histories_may_be_spread_over_tasks(spark, unit):
+    rows = observations(spark, *[listing(p, d, price=str(1 + d % 3)) for p in "ab" for d in range(1, 29, 2 if p == "a" else 5)], gone=(("a", 8, "off"), ("a", 10, "on"), ("c", 4, "off")))
+    assert sets(history.changes(rows, spread=unit)) == sets(history.changes(rows))
+
+
 def test_a_changed_record_index_is_a_refresh_of_provenance(spark):
     rows = observations(spark, listing("a", 1), listing("a", 2) | {"record_index": 7})
     deltas = sets(history.changes(rows))["a", 1, 2][1]
