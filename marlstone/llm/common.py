@@ -42,13 +42,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a local one is set if none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is named, as in tests, the context's checkpoint folder is used, or a local one set for it.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/marlstone-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
+        named = context._jsc.sc().getCheckpointDir()
+        if named.isEmpty():
+            context.setCheckpointDir(f"file://{tempfile.gettempdir()}/marlstone-checkpoints")
+            named = context._jsc.sc().getCheckpointDir()
+        base = named.get()
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
