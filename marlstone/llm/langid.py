@@ -2,8 +2,8 @@
 
 A text is lower-cased in ASCII, what isn't a letter there becomes one space, and each n-gram of its bytes gets one of
 ``BUCKETS`` embeddings. The mean embedding goes through a linear softmax. Since both are linear, a trained model is
-applied as one table of n-gram scores. A temperature is fitted on documents kept from training, and a document whose
-calibrated score is below the rejection bound (a low quantile of those documents' scores, at most ``REJECT_AT``) is
+applied as one table of n-gram scores. A temperature is fitted on documents kept from training and short parts of them,
+so that the score of a few words is as sure as they are, and a document whose calibrated score is below the rejection bound (a low quantile of those documents' scores, at most ``REJECT_AT``) is
 rejected, as is one without letters.
 
 The classifier learns from a bounded sample: ``SAMPLE`` documents of a label at most, of ``LABELS`` labels at most, by a
@@ -34,10 +34,14 @@ LABELS = 256
 BUCKETS = 1 << 15
 WIDTH = 16
 GRAMS = (2, 3, 4, 5)
+#: Texts that a document gives: the whole and short parts.
+PIECES = 6
 EPOCHS = 4
-RATE = 0.6
+RATE = 0.2
+#: Shares of n-grams are small: without this factor the embeddings would hardly move.
+PACE = 10
 #: A calibrated score below this at most is rejected; the bound itself is the quantile below, if that is less.
-REJECT_AT = 0.5
+REJECT_AT = 0.4
 QUANTILE = 0.002
 #: Cells of a score table that a worker holds at once.
 CELLS = 4_000_000
@@ -153,16 +157,16 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, labels:
             back = w @ wrong
             w -= np.outer(mean, wrong)
             b -= 0.1 * wrong
-            e[at] -= np.outer(share * 30, back)  # shares are small: without the factor the embeddings hardly move
+            e[at] -= np.outer(share * PACE, back)
     return Model(labels, e, w, b)
 
 
-def calibrate(model: Model, z: np.ndarray, target: np.ndarray) -> None:
-    """Temperature by likelihood, then the rejection bound, from the logits of whole documents that weren't learned from."""
+def calibrate(model: Model, z: np.ndarray, target: np.ndarray, whole: np.ndarray) -> None:
+    """Temperature by likelihood over short and whole texts that weren't learned from; then the rejection bound, by the whole ones."""
     rows = np.arange(len(z))
     grid = np.geomspace(0.02, 20, 60)
     model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[rows, target] + 1e-12).mean()))
-    top = softmax(z / model.temperature).max(axis=1)
+    top = softmax(z[whole] / model.temperature).max(axis=1)
     model.reject_below = float(min(REJECT_AT, np.quantile(top, QUANTILE)))
 
 
@@ -205,18 +209,18 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang"
         name = number[got["label"][k].as_py()]
         own = [(np.asarray(a.values), np.asarray(s.values)) for a, s in zip(got["at"][k], got["share"][k], strict=True)]
         if k % 5 == 0:
-            held.append(own[0])
-            held_target.append(name)
+            held += own
+            held_target += [name] * len(own)
         else:
             bags += own
             target += [name] * len(own)
     if not bags:
-        bags, target, held = held, held_target, []
+        bags, target, held = held, held_target, []  # too few to keep any
     model = train(bags, np.array(target), labels)
     if held:
         table = model.embedding @ model.output
         z = np.stack([s @ table[a] for a, s in held]) + model.bias
-        calibrate(model, z, np.array(held_target))
+        calibrate(model, z, np.array(held_target), np.arange(len(held)) % PIECES == 0)
     return model
 
 
