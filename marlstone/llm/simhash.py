@@ -6,10 +6,11 @@ Any m finds every link; ``BLOCKS`` keeps shards of random fingerprints small up
 fingerprints is split, and each part's tree meets each part's queries in a cell of its own. A cell sends on a spanning
 forest of its links, never all pairs: components need no more. Equal fingerprints are one node from the start.
 
-``similar`` is the wide form, for a Jaccard similarity of shingle sets: such pairs may differ in a dozen bits, which no choice
-of blocks can find. There the trees' shards are the documents with an equal least hash in one of ``KEYS`` ranges of the
-hash space (of pairs with similarity 0.8, all but about 3 in a million share one), the trees are searched at ``WIDE`` bits,
-and a match counts if the least hashes in ``BINS`` finer ranges agree often enough. Everything else is the same.
+``similar`` is the exact form, for a Jaccard similarity of shingle sets. Nodes are distinct sets of shingles. In one order of all
+shingles a set's prefix is so long that two sets of the similarity must share a shingle of their prefixes; every shingle's
+list gives candidates, less those that sizes and positions rule out, and each candidate's whole sets are compared. The
+order (common shingles last, as a sample shows them) changes the number of candidates only. In lists of more than ``MEET`` sets
+all meet the least first; then those that aren't in one component yet meet each other, in cells like those above.
 
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle make
 one shingle; repeated rows give repeated result rows; a null doc_id is never the smallest unless all of a component are
@@ -42,11 +43,10 @@ BLOCKS = 7
 BROADCAST_ROWS = 100_000
 #: Hashes whose bits are laid out at once.
 BITS_AT_ONCE = 1 << 14
-#: The wide form: ranges that shards come from, finer ranges that signatures come from, bits that may differ.
-KEYS, BINS, WIDE = 8, 64, 16
-NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: An estimate may fall short of the similarity by so much (about one and a half standard deviations).
-SHORT = 0.08
+#: The exact form: documents that show which shingles are common, such shingles at most, sets of a list that all meet at once.
+SAMPLE, COMMON, MEET = 8_000, 100_000, 64
+#: Slack for rounding in bounds of the candidates; the comparison itself has none.
+ROUNDING = 1e-6
 #: Rows that a task gets in the search, about.
 TASK_ROWS = 200_000
 
@@ -63,17 +63,25 @@ def hashes_of(text: bytes | None, words: int) -> np.ndarray:
 _digest = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The least hash in each of ``BINS`` equal ranges; the largest number where a range has none."""
-    out = np.full(BINS, NO_HASH, dtype=np.uint64)
-    np.minimum.at(out, (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), hashes)
-    return out
+def prefix(hashes: np.ndarray, similarity: float, common_: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes (distinct, sorted) that a similar set can't do without, in order of rank and hash."""
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - ROUNDING)) + 1
+    if not len(hashes) or not len(common_):
+        return hashes[:n]
+    at = np.minimum(np.searchsorted(common_, hashes), len(common_) - 1)
+    return hashes[np.lexsort((hashes, np.where(common_[at] == hashes, ranks[at], 0)))[:n]]
+
+
+def may_be_similar(size_a, pos_a, size_b, pos_b, similarity: float) -> np.ndarray:
+    """Whether sets with a shingle in common at these positions can share enough of them."""
+    most = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b)
+    return most >= similarity / (1 + similarity) * (size_a + size_b) - ROUNDING
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity from signatures (rows of 16-bit digests, 0 for an empty range): agreeing of used ranges."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, distinct and sorted."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
 
 def fingerprint_of(texts: list[bytes | None], words: int) -> np.ndarray:
@@ -117,8 +125,8 @@ def masks(radius: int, blocks: int = BLOCKS, bits: int = 64) -> list[int]:
     return [signed(sum(c)) for c in combinations(block, blocks - radius)]
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the links in the cells of a task. Rows: choice, shard, part, other, in_tree, asks, fp and, for the wide form, sig."""
+def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links in the cells of a task. Rows: choice, shard, part, other, in_tree, asks, fp."""
     got = [b for b in batches if len(b)]
     if not got:
         return
@@ -128,8 +136,6 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, similarity: float |
     fp = col["fp"].view(np.uint64)
     order = np.lexsort((fp, col["other"], col["part"], col["shard"], col["choice"]))
     fp, tree, asks = fp[order], tree[order], asks[order]
-    if similarity is not None:
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, BINS)[order]
     new = np.zeros(len(fp), dtype=bool)
     new[0] = True
     for n in ("choice", "shard", "part", "other"):
@@ -140,13 +146,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, similarity: float |
     forest = Forest(cell[node], fp[node])
     label = np.arange(len(fp))
     for q, t in forest.near(cell[query], fp[query], radius):
-        a, b = query[q], node[t]
-        if similarity is not None:
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
-            close = np.concatenate([agreement(sig[a[k : k + 65536]], sig[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= similarity - SHORT
-            a, b = a[close], b[close]
-        label = join_labels(label, a, b)
+        label = join_labels(label, query[q], node[t])
     linked = np.flatnonzero(label != np.arange(len(fp)))
     if len(linked):
         signed = fp.view(np.int64)
@@ -187,42 +187,162 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = 4, radius: i
     return _named(docs, nodes, components(links(nodes.select("fp"), radius)))
 
 
-def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WIDE) -> DataFrame:
-    """The same columns, with documents linked from this Jaccard similarity of their shingle sets on."""
-    common.ship(df.sparkSession)
+def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) from whole lists of key, node, size and pos; rows of long lists come out too, with their key."""
+    got = [b for b in batches if len(b)]
+    if not got:
+        return
+    rows = pa.Table.from_batches(got)
+    del got
+    key, node, size, pos = (np.asarray(rows.column(n)) for n in ("key", "node", "size", "pos"))
+    order = np.lexsort((node, key))
+    key, node, size, pos = (x[order] for x in (key, node, size, pos))
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(start, len(key)))
+    first, many = np.repeat(start, many), np.repeat(many, many)
+    long_ = np.flatnonzero(many > MEET)
+    left, right = [first[long_]], [long_]
+    short = np.flatnonzero((many > 1) & (many <= MEET))
+    for d in range(1, MEET):
+        a, b = short[:-d], short[d:]
+        same = first[a] == first[b]
+        if not same.any():
+            break
+        left.append(a[same])
+        right.append(b[same])
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = (a != b) & may_be_similar(size[a], pos[a], size[b], pos[b], similarity)
+    pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=0)
+    for k in range(0, len(pairs), 65536):
+        part = pairs[k : k + 65536]
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), none.cast(pa.int32()), none.cast(pa.int32())], names=["key", "a", "b", "size", "pos"])
+    for k in range(0, len(long_), 65536):
+        n = long_[k : k + 65536]
+        yield pa.RecordBatch.from_arrays([pa.array(key[n]), pa.array(node[n]), pa.nulls(len(n), pa.int64()), pa.array(size[n]), pa.array(pos[n])], names=["key", "a", "b", "size", "pos"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Candidates in the cells of a task whose labels differ. Rows: shard, part, other, in_tree, asks, fp (the node), size, pos and label."""
+    got = [b for b in batches if len(b)]
+    if not got:
+        return
+    rows = pa.Table.from_batches(got)
+    col = {n: np.asarray(rows.column(n)) for n in ("shard", "part", "other", "fp", "size", "pos", "label")}
+    tree, asks = (np.asarray(rows.column(n).combine_chunks().cast(pa.uint8())).astype(bool) for n in ("in_tree", "asks"))
+    order = np.lexsort((col["other"], col["part"], col["shard"]))
+    col, tree, asks = {n: x[order] for n, x in col.items()}, tree[order], asks[order]
+    new = np.zeros(len(order), dtype=bool)
+    new[0] = True
+    for n in ("shard", "part", "other"):
+        new[1:] |= col[n][1:] != col[n][:-1]
+    edge = np.append(np.flatnonzero(new), len(order))
+    node, size, pos, label = (col[n] for n in ("fp", "size", "pos", "label"))
+    for low, high in zip(edge[:-1], edge[1:], strict=True):
+        t = low + np.flatnonzero(tree[low:high])
+        for q in low + np.flatnonzero(asks[low:high]):
+            b = t[label[t] != label[q]]
+            b = b[may_be_similar(size[q], pos[q], size[b], pos[b], similarity)]
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[q], node[b])), pa.array(np.maximum(node[q], node[b]))], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets of shingles have the similarity; the sets come from the texts again."""
+    spark = pairs.sparkSession
+    pairs = common.written(pairs.distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = common.written(asked.join(nodes.select("node", "th"), "node"), "asked")
+    texts = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    # A set that many rows have is made once.
+    found = source.select(F.coalesce(F.xxhash64("__text"), F.lit(0)).alias("th"), "__text").join(texts, "th").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, own in common.chunks(batches, "__text"):
+            made = [np.unique(hashes_of(t, words)).tobytes() for t in own]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(made, pa.binary())], names=["node", "hashes"])
+
+    held = common.written(found.select("node", "__text").mapInArrow(sets, "node long, hashes binary"), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            ok = [jaccard(*(np.frombuffer(c[k].as_py(), dtype=np.uint64) for c in (x, y))) >= similarity for k in range(len(b))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / TASK_ROWS * 8))
+    left, right = held.toDF("a", "x"), held.toDF("b", "y")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return common.written(both.repartition(n).mapInArrow(compare, "a long, b long"), "verified")
+
+
+def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, that are in several of the sample's documents, and in how many."""
+    step = max(1, source.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in common.chunks(batches, "__text"):
+            flat = np.concatenate([np.unique(hashes_of(t, words)) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
+
+    seen = source.where(F.pmod(F.xxhash64("__text"), F.lit(step)) == 0).select("__text").mapInArrow(run, "h long")
+    most = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = np.asarray(most.column("h").combine_chunks()).view(np.uint64), np.asarray(most.column("n").combine_chunks())
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The same columns, with documents linked just from this Jaccard similarity of their shingle sets on.
+
+    The fingerprint is that of the distinct shingles.
+    """
+    spark = df.sparkSession
+    common.ship(spark)
     source = df.select("doc_id", F.col(text).alias("__text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    often, ranks = common_shingles(source, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.chunks(batches, "__text"):
-            fp, keys, sigs = [], [], []
+            fp, node, size, keys = [], [], [], []
             for t in texts:
-                hashes = hashes_of(t, words)
-                least = least_hashes(hashes)
+                hashes = np.unique(hashes_of(t, words))
                 fp.append(fingerprint(hashes))
-                # A range's key is its least hash; the digest of a finer one is never 0 unless it is empty.
-                keys.append(least.reshape(KEYS, -1).min(axis=1))
-                sigs.append(np.where(least == NO_HASH, 0, (least % np.uint64(65521)) + np.uint64(1)).astype(np.uint16).tobytes())
-            ends = np.arange(0, KEYS * (len(rows) + 1), KEYS)
-            flat = np.concatenate(keys)
-            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), mask=flat == NO_HASH))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), held, pa.array(sigs, pa.binary())], names=["doc_id", "fp", "keys", "sig"])
-
-    shape = f"doc_id {kind}, fp long, keys array<long>, sig binary"
-    docs = common.written(source.mapInArrow(run, shape), "signatures")
-    # Documents of one fingerprint are one node, with the signature of the first of them.
-    nodes = common.written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("keys", "sig"), F.struct("doc_id", "sig")).alias("s")).select("fp", "first", "s.*"), "nodes")
-    dealt = nodes.select("fp", "sig", F.posexplode("keys").alias("choice", "shard")).where("shard is not null")
-    found = _linked(dealt, nodes.count() * KEYS, partial(_search, radius=radius, similarity=similarity), SHARD)
-    return _named(docs.select("doc_id", "fp"), nodes.select("fp", "first"), components(found))
-
-
-def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Documents with the smallest doc_id of their component; ``nodes``: fp and its smallest doc_id."""
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+                node.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                size.append(len(hashes))
+                keys.append(prefix(hashes, similarity, often, ranks))
+            ends = np.cumsum([0, *map(len, keys)])
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, node)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *longs, pa.array(size, pa.int32()), held], names=["doc_id", "th", "fp", "node", "size", "keys"])
+
+    shape = f"doc_id {kind}, th long, fp long, node long, size int, keys array<long>"
+    hashed = source.select("doc_id", F.coalesce(F.xxhash64("__text"), F.lit(0)).alias("th"), "__text")
+    docs = common.written(hashed.mapInArrow(run, shape), "signatures")
+    # Documents of one set of shingles are one node.
+    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    lists = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key")).select("key", "node", "size", "pos")
+    rows = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS / 4))
+    met = common.written(lists.repartition(parts, "key").mapInArrow(partial(_met, similarity=similarity), "key long, a long, b long, size int, pos int"), "met")
+    found = _verified(met.where("key is null").select("a", "b"), source, nodes, words, similarity)
+    long_ = met.where("key is not null").select(F.lit(0).alias("choice"), F.col("key").alias("shard"), F.col("a").alias("fp"), "size", "pos")
+    if n := long_.count():
+        roots = components(found)
+        dealt = long_.join(roots, long_.fp == roots.node, "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
+        more = _linked(dealt, n, partial(_across, similarity=similarity), SHARD)
+        found = found.unionByName(_verified(more, source, nodes, words, similarity))
+    return _named(docs.select("doc_id", "fp", "node"), nodes.select("node", "first"), components(found), "node")
+
+
+def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, key: str = "fp") -> DataFrame:
+    """Documents with the smallest doc_id of their component; ``nodes``: the key and its smallest doc_id."""
+    roots = roots.toDF("__node", "root")
+    rooted = nodes.join(roots, nodes[key] == roots["__node"], "left").select(key, "first", F.coalesce("root", key).alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_key = rooted.join(named, "root").select(key, "component_id")
+    return docs.join(by_key, key).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -182,3 +182,35 @@ def test_representatives_of_repeated_and_nameless_rows(spark):
     rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "y"), (None, "a b c d e f", "z"), (9, None, None), (8, "", None)]
     got = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id or 0, r.fp or "") for r in got) == [(0, "z"), (3, "x"), (8, "")]
+
+
+def test_similar_is_exact_at_the_similarity(spark):
+    rng = np.random.default_rng(12)
+    vocab = ["w%d" % i for i in range(3000)]
+    rows = []
+    for n in (12, 40, 100, 300):
+        for _ in range(25):
+            base = list(rng.choice(vocab, n))
+            rows += [" ".join(base), *(edited(rng, base, vocab, share) for share in (0.01, 0.022, 0.03, 0.045, 0.07))]
+    for _ in range(5):
+        menu = list(rng.choice(vocab, 5))
+        rows += [" ".join([*menu * 60, *rng.choice(vocab, 200)]) for _ in range(2)]
+        own = list(rng.choice(vocab, 100))
+        rows += [" ".join(own), " ".join([*own, *menu * 30])]
+    sets = [shingles(t) for t in rows]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOCS).repartition(3)).collect()}
+    want = jaccard_components(sets, 0.8)
+    assert [got[i] for i in range(len(rows))] == want
+    assert 50 < len(rows) - len(set(want))
+
+
+def test_similar_is_exact_in_long_lists_whatever_the_order(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    monkeypatch.setattr(simhash, "COMMON", 5)
+    rng = np.random.default_rng(13)
+    vocab = ["w%d" % i for i in range(3000)]
+    base = list(rng.choice(vocab, 200))
+    rows = [edited(rng, base, vocab, share) for share in (0.01, 0.02, 0.03, 0.04) for _ in range(40)]
+    sets = [shingles(t) for t in rows]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOCS)).collect()}
+    assert [got[i] for i in range(len(rows))] == jaccard_components(sets, 0.8)
