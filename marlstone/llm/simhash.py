@@ -8,7 +8,7 @@ forest of its links, never all pairs: components need no more. Equal fingerprint
 
 ``similar`` is the exact form, for a Jaccard similarity of shingle sets. Nodes are distinct sets of shingles. In one order of all
 shingles a set's prefix is so long that two sets of the similarity must share a shingle of their prefixes; every shingle's
-list gives candidates, less those that sizes and positions rule out, and each candidate's whole sets are compared. The
+list gives candidates, less those that sizes, positions and sketches rule out for sure, and the others' whole sets are compared. The
 order (common shingles last, as a sample shows them) changes the number of candidates only. In lists of more than ``MEET`` sets
 all meet the least first; then those that aren't in one component yet meet each other, in cells like those above.
 
@@ -45,6 +45,8 @@ BROADCAST_ROWS = 100_000
 BITS_AT_ONCE = 1 << 14
 #: The exact form: documents that show which shingles are common, such shingles at most, sets of a list that all meet at once.
 SAMPLE, COMMON, MEET = 8_000, 100_000, 64
+#: Bits of a sketch, at least.
+LEAST_BITS = 512
 #: Slack for rounding in bounds of the candidates; the comparison itself has none.
 ROUNDING = 1e-6
 #: Rows that a task gets in the search, about.
@@ -78,6 +80,19 @@ def may_be_similar(size_a, pos_a, size_b, pos_b, similarity: float) -> np.ndarra
     return most >= similarity / (1 + similarity) * (size_a + size_b) - ROUNDING
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each value of the lowest bits, whether the number of hashes is odd; at least a bit for each hash."""
+    bits = max(LEAST_BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of hashes that one of two sets has, from their sketches."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum())
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets, distinct and sorted."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -249,8 +264,17 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b: nodes) whose sets of shingles have the similarity; the sets come from the texts again."""
-    spark = pairs.sparkSession
-    pairs = common.written(pairs.distinct(), "pairs")
+    own = nodes.select("node", "size", "sketch")
+    left, right = own.toDF("a", "size_a", "x"), own.toDF("b", "size_b", "y")
+
+    def near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - similarity) / (1 + similarity) * (np.asarray(b.column(2)) + np.asarray(b.column(3))) + ROUNDING
+            ok = [apart(b.column(4)[k].as_py(), b.column(5)[k].as_py()) <= most[k] for k in range(len(b))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sketched = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "x", "y")
+    pairs = common.written(sketched.mapInArrow(near_enough, "a long, b long"), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = common.written(asked.join(nodes.select("node", "th"), "node"), "asked")
     texts = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
@@ -270,10 +294,9 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, words: int,
             ok = [jaccard(*(np.frombuffer(c[k].as_py(), dtype=np.uint64) for c in (x, y))) >= similarity for k in range(len(b))]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs.count() / TASK_ROWS * 8))
     left, right = held.toDF("a", "x"), held.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return common.written(both.repartition(n).mapInArrow(compare, "a long, b long"), "verified")
+    return common.written(both.mapInArrow(compare, "a long, b long"), "verified")
 
 
 def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,23 +328,24 @@ def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.chunks(batches, "__text"):
-            fp, node, size, keys = [], [], [], []
+            fp, node, size, keys, sketches = [], [], [], [], []
             for t in texts:
                 hashes = np.unique(hashes_of(t, words))
                 fp.append(fingerprint(hashes))
                 node.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 size.append(len(hashes))
                 keys.append(prefix(hashes, similarity, often, ranks))
+                sketches.append(sketch(hashes))
             ends = np.cumsum([0, *map(len, keys)])
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, node)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *longs, pa.array(size, pa.int32()), held], names=["doc_id", "th", "fp", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *longs, pa.array(size, pa.int32()), held, pa.array(sketches, pa.binary())], names=["doc_id", "th", "fp", "node", "size", "keys", "sketch"])
 
-    shape = f"doc_id {kind}, th long, fp long, node long, size int, keys array<long>"
+    shape = f"doc_id {kind}, th long, fp long, node long, size int, keys array<long>, sketch binary"
     hashed = source.select("doc_id", F.coalesce(F.xxhash64("__text"), F.lit(0)).alias("th"), "__text")
     docs = common.written(hashed.mapInArrow(run, shape), "signatures")
     # Documents of one set of shingles are one node.
-    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     lists = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key")).select("key", "node", "size", "pos")
     rows = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS / 4))

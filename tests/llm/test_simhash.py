@@ -214,3 +214,12 @@ def test_similar_is_exact_in_long_lists_whatever_the_order(spark, monkeypatch):
     sets = [shingles(t) for t in rows]
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOCS)).collect()}
     assert [got[i] for i in range(len(rows))] == jaccard_components(sets, 0.8)
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(14)
+    for n in (0, 1, 5, 400, 520, 3000):
+        for share in (0, 0.02, 0.1, 0.3):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[round(share * n) :], rng.integers(0, 1 << 63, round(share * n / 2)).astype(np.uint64)]))
+            assert simhash.apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
