@@ -16,6 +16,13 @@ RAW = (
 )
 
 
+#: How each raw field is parsed.
+PARSERS = {
+    "observed_at": parsing.moment, "url": parsing.url, "location_text": parsing.location, "price_major": parsing.price,
+    "currency": parsing.currency, "total_area_sqm": parsing.area, "rooms": parsing.rooms,
+}
+
+
 def path(field: str | None = None, index: Column | None = None) -> Column:
     """``$.listings[i]`` or ``$.listings[i].field``."""
     index = F.col("record_index") if index is None else index
@@ -28,51 +35,44 @@ def normalized(raw: DataFrame) -> DataFrame:
     Price and currency are parsed only where both are there or neither is. A record with issues has no canonical form;
     its outcomes mean nothing.
     """
-    parsed = raw.select(
-        "*",
-        parsing.moment(F.col("observed_at")).alias("_at"),
-        parsing.url(F.col("url")).alias("_url"),
-        parsing.location(F.col("location_text")).alias("_location"),
-        parsing.price(F.col("price_major")).alias("_price"),
-        parsing.currency(F.col("currency")).alias("_currency"),
-        parsing.area(F.col("total_area_sqm")).alias("_area"),
-        parsing.rooms(F.col("rooms")).alias("_rooms"),
-    )
+    # Each raw text is read in a projection of its own, so that values, codes and states don't repeat the reading.
+    read = raw.select("*", *[parser.read(F.col(field)).alias(f"_{field}") for field, parser in PARSERS.items()])
+    parsed = read.select(*raw.columns, *[parser.result(F.col(field), F.col(f"_{field}")).alias(f"_{field}") for field, parser in PARSERS.items()])
     half = F.col("price_major").isNull() != F.col("currency").isNull()
     both = F.col("price_major").isNotNull() & F.col("currency").isNotNull()
     i = F.col("record_index")
 
-    def wrong(field: str, parsed_name: str, when: Column) -> Column:
-        return issue(i, path(field), "NORMALIZATION", F.when(when, F.col(f"{parsed_name}.code")))
+    def wrong(field: str, when: Column) -> Column:
+        return issue(i, path(field), "NORMALIZATION", F.when(when, F.col(f"_{field}.code")))
 
     there = lambda name: F.col(name).isNotNull()
     issues = F.array_compact(
         F.array(
-            wrong("observed_at", "_at", F.lit(True)),
-            wrong("url", "_url", F.lit(True)),
-            wrong("location_text", "_location", there("location_text")),
+            wrong("observed_at", F.lit(True)),
+            wrong("url", F.lit(True)),
+            wrong("location_text", there("location_text")),
             issue(i, path(), "NORMALIZATION", F.when(half, "incomplete_money")),
-            wrong("price_major", "_price", both),
-            wrong("currency", "_currency", both),
-            wrong("total_area_sqm", "_area", there("total_area_sqm")),
-            wrong("rooms", "_rooms", there("rooms")),
+            wrong("price_major", both),
+            wrong("currency", both),
+            wrong("total_area_sqm", there("total_area_sqm")),
+            wrong("rooms", there("rooms")),
         )
     )
     v = policies.RULE_VERSIONS
     unsupported = F.when(F.col("currency") != policies.SUPPORTED_CURRENCY, "unsupported_currency")
 
-    def made(field: str, parsed_name: str, reason: Column | None = None) -> Column:
-        return outcome(F.col(field), F.col(f"{parsed_name}.value"), path(field), field, v[field], reason)
+    def made(field: str, reason: Column | None = None) -> Column:
+        return outcome(F.col(field), F.col(f"_{field}.value"), path(field), field, v[field], reason)
 
     return parsed.select(
         "record_index", "source_id", "publication_id",
-        F.col("_at.value").alias("observed_at"), F.col("observed_at").alias("observed_at_raw"),
-        made("url", "_url").alias("source_url"),
-        made("location_text", "_location").alias("location_text"),
-        made("price_major", "_price").alias("price_amount"),
-        made("currency", "_currency", unsupported).alias("currency"),
-        made("total_area_sqm", "_area").alias("total_area"),
-        made("rooms", "_rooms").alias("rooms"),
+        F.col("_observed_at.value").alias("observed_at"), F.col("observed_at").alias("observed_at_raw"),
+        made("url").alias("source_url"),
+        made("location_text").alias("location_text"),
+        made("price_major").alias("price_amount"),
+        made("currency", unsupported).alias("currency"),
+        made("total_area_sqm").alias("total_area"),
+        made("rooms").alias("rooms"),
         issues.alias("issues"),
     )
 

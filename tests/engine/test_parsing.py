@@ -79,3 +79,8 @@ def test_every_issue_of_a_record_and_money_in_pairs(spark):
 def test_normalization_is_one_projection_without_python(spark):
     plan = normalize.normalized(raw(spark, {}))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_each_text_is_read_once(spark):
+    plan = normalize.normalized(raw(spark, {}))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("RLIKE") + plan.count("regexp_replace") + plan.count("regexp_extract") <= len(normalize.PARSERS)
