@@ -1,24 +1,31 @@
 """Line dedup by pairwise alignment: shared line hashes name pairs of documents, patience diff aligns them, and aligned
 common blocks are deleted from the later document.
 
-A document is a pair (doc_id, hash of its text); they are in order of doc_id (none last), then hash. The k-th occurrence
-of a line in a document is matched with the k-th in the earliest document that holds it: so a line that a third of all
-documents share costs each of them one row, and nothing is paired within a group. A run is a stretch of a document's
-lines that all have an earlier holder (blank lines don't count). A run opens pairs with its lines' earliest holders if it
-has ``OPEN_WORDS`` words, or ``MIN_WORDS`` and a rare line (in at most ``RARE`` documents): short common lines alone open
-none. Each pair is aligned by patience diff on its common lines: lines that occur once in both are anchors, their longest
-increasing chain divides the documents, and repeated lines are aligned between the anchors. Aligned lines that lie next
-to each other form blocks; blocks of ``MIN_WORDS`` words are deleted. The first occurrence of a line always stays.
-
-Defined cases: null and empty texts have no lines; a null doc_id comes after all others; rows that repeat a document are
-that document and have its result each; documents of one id with different texts are different; what differs in blanks
-at the ends of lines only is one line; other columns aren't looked at and may have any name.
+A document is a pair (doc_id, hash of its text); they are in order of doc_id (none last), then hash; blank lines don't
+count. Lines that many documents have say little, so lines are hashed together with their neighbours until ``MIN_WORDS``
+words are reached: a run from each line on, and one that ends at each line (often they are the same); a line of so many
+words is a run of its own. Such hashes are rare where single lines are common, and whatever lines two documents have in
+common side by side, of ``MIN_WORDS`` words in all, are covered by runs that both have. A run that an earlier document has
+names the pair with the earliest one, and with the place there: so a run that a third of all documents share costs each of
+them one row, nothing is paired within a group, and no frequency bound is needed.
+
+Each pair is aligned by patience diff: runs on one diagonal are joined, those that cross nothing are anchors, their longest
+increasing chain divides the documents, and repeated ones are aligned between the anchors. What a chain left out (moved or
+repeated passages) is aligned again, ``ROUNDS`` times, after which each remaining stretch is a block by itself. Blocks are
+formed within a pair only and have ``MIN_WORDS`` words each. So a line is deleted just if it is in a block of that many
+words that some earlier document has too; the first occurrence of a line in the corpus always stays, and an exact copy of a
+document of ``MIN_WORDS`` words goes whole.
+
+Defined cases: null and empty texts have no lines, a text of fewer words than a block has no run; a null doc_id comes after
+all others; rows that repeat a document are that document and have its result each; documents of one id with different
+texts are different; what differs in blanks at the ends of lines only is one line; a passage that only one document repeats
+stays; an empty table gives an empty table; a very long text is one task's work, line by line; other columns aren't looked
+at and may have any name.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +36,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a block that is deleted.
+#: Words of a block that is deleted, and of a run.
 MIN_WORDS = 30
-#: Words of a run that opens pairs without a rare line.
-OPEN_WORDS = 50
-#: A line in at most so many documents is rare.
-RARE = 100
+#: Alignments of a pair before what is left is taken stretch by stretch.
+ROUNDS = 3
 
-_LINES = "doc_id long, th long, idx int, k int, many int, words int, h1 long, h2 long"
-_FOUND = "doc_id long, th long, spans array<struct<start:int,end:int>>, words long, partners array<long>"
+_RUNS = "doc_id long, th long, at int, n int, h1 long, h2 long"
+_BLOCK = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("partner", pa.int64()), ("partner_start", pa.int32())])
+_BLOCKS = "array<struct<start:int,end:int,partner:long,partner_start:int>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_SPANS = "array<struct<start:int,end:int>>"
 
 
 def lines_of(text: bytes | None) -> list[bytes]:
@@ -45,6 +53,21 @@ def lines_of(text: bytes | None) -> list[bytes]:
     return [x for line in text.split(b"\n") if (x := line.strip())] if text else []
 
 
+def runs_of(words: list[int]) -> list[tuple[int, int]]:
+    """The shortest stretches [start, end) of lines that have ``MIN_WORDS`` words: from each line on, and up to each line."""
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    n, found = len(words), set()
+    for i in range(n):
+        if (j := bisect_left(total, total[i] + MIN_WORDS, i + 1)) <= n:
+            found.add((i, j))
+    for j in range(1, n + 1):
+        if total[j] >= MIN_WORDS:
+            found.add((bisect_right(total, total[j] - MIN_WORDS, 0, j) - 1, j))
+    return sorted(found)
+
+
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain that increases in both, of pairs in order of the first (patience sorting)."""
     tops: list[int] = []
@@ -86,108 +109,131 @@ def patience(common_lines: list[tuple[int, int, bool]]) -> list[tuple[int, int]]
     return out[:-1]
 
 
-def decide(rows: list[tuple]) -> tuple[list[tuple[int, int]], int, list]:
-    """Spans [start, end) of lines to delete from a document, their words, and the earlier documents they are in.
-
-    Rows in order of idx: (idx, words, once, number of holders, earliest holder, idx there).
-    """
-    rows = [r for n, r in enumerate(rows) if not n or r[0] != rows[n - 1][0]]
+def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs (later start, earlier start, lines) with those that touch on one diagonal as one."""
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in sorted(runs, key=lambda r: (r[1] - r[0], r[0])):
+        if out and (last := out[-1])[1] - last[0] == b - a and a <= last[0] + last[2]:
+            out[-1] = (last[0], last[1], max(last[2], a + n - last[0]))
+        else:
+            out.append((a, b, n))
+    return sorted(out)
+
+
+def _alone(runs: list[tuple[int, int, int]], side: int) -> set[tuple[int, int, int]]:
+    """Runs that share no line of one side with another run."""
+    order = sorted(runs, key=lambda r: r[side])
+    out, reach = set(), -1
+    for k, r in enumerate(order):
+        end = r[side] + r[2]
+        if r[side] >= reach and (k + 1 == len(order) or order[k + 1][side] >= end):
+            out.add(r)
+        reach = max(reach, end)
+    return out
+
+
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans [start, end) with those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def aligned(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks (later start, earlier start, lines) of a pair, from its runs."""
+    left, blocks = joined(runs), []
+    for _ in range(ROUNDS):
+        sure = _alone(left, 0) & _alone(left, 1)
+        size = {r[:2]: r[2] for r in left}
+        end_a = end_b = 0
+        for a, b in patience([(a, b, (a, b, n) in sure) for a, b, n in left]):
+            if a >= end_a and b >= end_b:
+                blocks.append((a, b, size[a, b]))
+                end_a, end_b = a + size[a, b], b + size[a, b]
+        gone = union([(a, a + n) for a, _, n in blocks])
+        starts = [x for x, _ in gone]
+        inside = lambda r: (k := bisect_right(starts, r[0]) - 1) >= 0 and r[0] + r[2] <= gone[k][1]  # noqa: B023, E731
+        left = [r for r in left if not inside(r)]
+        if not left:
+            return blocks
+    return blocks + left
+
+
+def decide(rows: list[tuple]) -> list[tuple[int, int, int | None, int]]:
+    """Blocks (start, end, partner's doc_id, start there) to delete from a document. Rows: start, lines, earlier document, start there."""
     by: dict = {}
-    start = 0
-    for n in range(1, len(rows) + 1):
-        if n < len(rows) and rows[n][0] == rows[n - 1][0] + 1:
-            continue
-        run, start = rows[start:n], n
-        words = sum(r[1] for r in run)
-        if words >= OPEN_WORDS or words >= MIN_WORDS and any(r[3] <= RARE for r in run):
-            for r in run:
-                by.setdefault(r[4], []).append((r[0], r[5], r[2]))
-    words_at = {r[0]: r[1] for r in rows}
-    owner = {a: e for e, matched in by.items() for a, _ in patience(matched)}
-    spans, total, partners = [], 0, set()
-    block: list[int] = []
-    for a in [*sorted(owner), None]:
-        if block and (a is None or a != block[-1] + 1):
-            if (w := sum(words_at[x] for x in block)) >= MIN_WORDS:
-                spans.append((block[0], block[-1] + 1))
-                total += w
-                partners |= {owner[x][0] for x in block}
-            block = []
-        block.append(a)
-    return spans, total, sorted(partners, key=lambda x: (x is None, x or 0))
+    for a, n, e, b in sorted(set(rows), key=str):
+        by.setdefault(e, []).append((a, b, n))
+    return sorted(((a, a + n, e[0], b) for e, runs in by.items() for a, b, n in aligned(runs)), key=lambda x: (x[0], x[1], str(x[2:])))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), F.col(text).alias("text"))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in common.chunks(batches, "text"):
-        doc, idx, k, many, words, digest = [], [], [], [], [], bytearray()
+        doc, at, many, digest = [], [], [], bytearray()
         for d, t in enumerate(texts):
             own = lines_of(t)
-            hashes = [xxhash.xxh3_128_digest(x) for x in own]
-            total, seen = Counter(hashes), Counter()
-            for n, (x, h) in enumerate(zip(own, hashes, strict=True)):
+            found = runs_of([len(x.split()) for x in own])
+            if not found:
+                continue
+            hashes = b"".join(map(xxhash.xxh3_128_digest, own))
+            for i, j in found:
                 doc.append(d)
-                idx.append(n)
-                k.append(seen[h])
-                many.append(total[h])
-                words.append(len(x.split()))
-                digest += h
-                seen[h] += 1
-        at = pa.array(doc, pa.int64())
+                at.append(i)
+                many.append(j - i)
+                digest += xxhash.xxh3_128_digest(hashes[16 * i : 16 * j])
+        index = pa.array(doc, pa.int64())
         both = np.frombuffer(bytes(digest), dtype=np.int64).reshape(-1, 2)
-        ints = [pa.array(x, pa.int32()) for x in (idx, k, many, words)]
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(at), rows.column(1).take(at), *ints, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
-            names=["doc_id", "th", "idx", "k", "many", "words", "h1", "h2"],
+            [rows.column(0).take(index), rows.column(1).take(index), pa.array(at, pa.int32()), pa.array(many, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())],
+            names=["doc_id", "th", "at", "n", "h1", "h2"],
         )
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document and idx; a row out for each document that loses lines."""
-
-    def out(key: tuple, rows: list[tuple]) -> list[tuple]:
-        spans, words, partners = decide(rows)
-        return [(*key, [{"start": a, "end": b} for a, b in spans], words, partners)] if spans else []
+    """Rows sorted by document; a row out for each document that loses lines."""
 
     def batch(made: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.int64(), pa.list_(pa.int64())]
-        cols = zip(*made, strict=True) if made else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "th", "spans", "words", "partners"])
+        cols = zip(*made, strict=True) if made else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(_BLOCK)), strict=True)], names=["doc_id", "th", "blocks"])
 
+    names = ("start", "end", "partner", "partner_start")
+    out = lambda key, rows: (*key, [dict(zip(names, b, strict=True)) for b in decide(rows)])
     key, held, made = None, [], []
     for b in batches:
-        for doc, th, idx, words, once, holders, e_doc, e_th, e_idx in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for doc, th, at, n, e_doc, e_th, e_at in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (doc, th) != key:
                 if held:
-                    made += out(key, held)
+                    made.append(out(key, held))
                 key, held = (doc, th), []
-            held.append((idx, words, once, holders, (e_doc, e_th), e_idx))
+            held.append((at, n, (e_doc, e_th), e_at))
         if len(made) >= 4096:
             yield batch(made)
             made = []
     if held:
-        made += out(key, held)
+        made.append(out(key, held))
     yield batch(made)
 
 
 def overlaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), spans, words and partners of the documents that lose lines."""
+    """doc_id, th (hash of the text) and blocks (start, end, partner, partner_start) of the documents that lose lines."""
     common.ship(docs.sparkSession)
-    lines = common.written(_keyed(docs, doc_id, text).mapInArrow(_lines, _LINES), "lines")
-    holder = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "idx", "many")
-    first = lines.groupBy("h1", "h2", "k").agg(F.min(holder).alias("e"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    # Written, so that both sides are plain exchanges: a line that very many documents hold can then be split.
-    first = common.written(first, "first")
-    shared = lines.join(first.hint("merge"), ["h1", "h2", "k"]).where(~(F.col("doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("th") == F.col("e.th"))))
-    rows = shared.select(
-        "doc_id", "th", "idx", "words", ((F.col("many") == 1) & (F.col("e.many") == 1)).alias("once"), "holders",
-        F.col("e.doc_id").alias("e_doc"), F.col("e.th").alias("e_th"), F.col("e.idx").alias("e_idx"),
-    )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "doc_id", "th").sortWithinPartitions("doc_id", "th", "idx").mapInArrow(_align, _FOUND)
+    runs = common.written(_keyed(docs, doc_id, text).mapInArrow(_runs, _RUNS), "runs")
+    holder = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
+    found = runs.groupBy("h1", "h2").agg(F.min(holder).alias("e"), F.max(holder).alias("last"))
+    other = lambda a, b: ~(F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}th") == F.col(f"{b}th")))
+    # Written, so that both sides are plain exchanges: a run that very many documents hold can then be split.
+    first = common.written(found.where(other("e.", "last.")).select("h1", "h2", "e"), "first")
+    shared = runs.join(first.hint("merge"), ["h1", "h2"]).where(other("", "e."))
+    rows = shared.select("doc_id", "th", "at", "n", F.col("e.doc_id").alias("e_doc"), F.col("e.th").alias("e_th"), F.col("e.at").alias("e_at"))
+    return rows.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th").mapInArrow(_align, f"doc_id long, th long, blocks {_BLOCKS}")
 
 
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -205,31 +251,40 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _joined(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    f = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("spans").alias("__spans"), F.col("words").alias("__words"), F.col("partners").alias("__partners"))
+    f = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("blocks").alias("__blocks"))
     key = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("__h"))
     return docs.join(f.hint("merge"), key, "left").drop("__d", "__h")
 
 
+def _spans(blocks: list | None) -> list[tuple[int, int]]:
+    return union([(b["start"], b["end"]) for b in blocks]) if blocks else []
+
+
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed (lines), words_removed, spans, partners (earlier doc_ids) and kept_text of every row."""
+    """doc_id, n_lines, n_removed (lines), words_removed, spans, blocks, partners (earlier doc_ids) and kept_text of every row."""
     found = common.written(overlaps(docs, doc_id, text), "found")
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = _joined(plain, found, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.chunks(batches, "text"):
-            spans = part.column(2).to_pylist()
-            made = [t if not s else kept(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
-            n = pa.array([sum(1 for x in t.split(b"\n") if x.strip()) if t else 0 for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], n, pa.array(made, pa.binary()).cast(pa.string())], names=[part.schema.names[0], *part.schema.names[2:], "n_lines", "kept_text"])
-
-    shape = f"doc_id {docs.select(doc_id).schema[0].dataType.simpleString()}, __spans array<struct<start:int,end:int>>, __words long, __partners array<long>, n_lines long, kept_text string"
-    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return rows.mapInArrow(run, shape).select(
-        "doc_id", "n_lines", F.coalesce(removed, F.lit(0)).alias("n_removed"), F.coalesce("__words", F.lit(0)).alias("words_removed"),
-        F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
-        F.coalesce("__partners", F.array().cast("array<long>")).alias("partners"), "kept_text",
-    )
+            blocks = part.column(2).to_pylist()
+            spans, many, gone, words, partners, made = [], [], [], [], [], []
+            for t, own in zip(texts, blocks, strict=True):
+                lines, cut = lines_of(t), _spans(own)
+                spans.append([{"start": a, "end": b} for a, b in cut])
+                many.append(len(lines))
+                gone.append(sum(b - a for a, b in cut))
+                words.append(sum(len(x.split()) for a, b in cut for x in lines[a:b]))
+                partners.append(sorted({b["partner"] for b in own or ()}, key=lambda x: (x is None, x or 0)))
+                made.append(kept(t, cut) if cut else t)
+            longs = [pa.array(x, pa.int64()) for x in (many, gone, words)]
+            cols = [*longs, pa.array(spans, pa.list_(_SPAN)), pa.array([b or [] for b in blocks], pa.list_(_BLOCK)), pa.array(partners, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols, pa.array(made, pa.binary()).cast(pa.string())], names=names)
+
+    names = ["doc_id", "n_lines", "n_removed", "words_removed", "spans", "blocks", "partners", "kept_text"]
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, words_removed long, spans {_SPANS}, blocks {_BLOCKS}, partners array<long>, kept_text string")
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,12 +293,12 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     names = [f"__c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)
     d, t = names[own.index(doc_id)], names[own.index(text)]
-    rows = _joined(plain, common.written(overlaps(plain, d, t), "found"), d, t).drop("__words", "__partners")
+    rows = _joined(plain, common.written(overlaps(plain, d, t), "found"), d, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.chunks(batches, t):
-            spans = part.column(len(names)).to_pylist()
-            made = [x if not s else kept(x, [(y["start"], y["end"]) for y in s]) for x, s in zip(texts, spans, strict=True)]
+            spans = [_spans(b) for b in part.column(len(names)).to_pylist()]
+            made = [kept(x, s) if s else x for x, s in zip(texts, spans, strict=True)]
             stay = pa.array([not s or bool(x.strip()) for x, s in zip(made, spans, strict=True)])
             cols = [pa.array(made, pa.binary()).cast(pa.string()) if n == t else part.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(stay)
