@@ -6,12 +6,15 @@ applied as one table of n-gram scores. A temperature is fitted on documents kept
 so that the score of a few words is as sure as they are, and a document whose calibrated score is below the rejection bound (a low quantile of those documents' scores, at most ``REJECT_AT``) is
 rejected, as is one without letters.
 
-The classifier learns from a bounded sample: ``SAMPLE`` documents of a label at most, of ``LABELS`` labels at most, by a
-hash of their ids; six pieces of each, the whole text among them. Everything else is done for every row and whole texts.
+The classifier learns from a bounded sample: about ``SAMPLE`` documents of a label, fewer where there are so many labels
+that all together would be more than ``TOTAL``, but ``LEAST`` of each (all of a label that has no more); by a hash of
+their ids, so that every label has its documents; six pieces of each, the whole text among them. Everything else is done
+for every row and whole texts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with nothing to learn from, all are
 ``und``; rows with a null label or id aren't learned from; repeated rows are predicted one by one; a null id isn't held
-out; columns other than the named ones aren't read.
+out; an empty table gives an empty table; a very long text is scored whole, block by block; of labels with equal scores
+the first in alphabetical order is predicted; columns other than the named ones aren't read.
 """
 
 from __future__ import annotations
@@ -27,10 +30,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Documents of a label that the classifier learns from, at most.
-SAMPLE = 600
-#: Labels that are learned, at most; the most frequent ones.
-LABELS = 256
+#: Documents of a label that the classifier learns from, about; of all labels, about; of a label that has so many, at least.
+SAMPLE, TOTAL, LEAST = 600, 4800, 8
 BUCKETS = 1 << 15
 WIDTH = 16
 GRAMS = (2, 3, 4, 5)
@@ -45,6 +46,8 @@ REJECT_AT = 0.4
 QUANTILE = 0.002
 #: Cells of a score table that a worker holds at once.
 CELLS = 4_000_000
+#: Labels whose counts are told to all tasks at once; beyond, they are joined.
+BROADCAST_LABELS = 100_000
 UNKNOWN = "und"
 
 _LETTERS = bytes((c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20) for c in range(256))
@@ -71,10 +74,16 @@ def buckets(raw: np.ndarray, n: int) -> np.ndarray:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a plain text and their shares."""
+    """Buckets of a plain text and how often each occurs, two bytes each; counts beyond that are all scaled down."""
     raw = np.frombuffer(text, dtype=np.uint8)
     seen, many = np.unique(np.concatenate([buckets(raw, n) for n in GRAMS]), return_counts=True)
-    return seen.astype(np.int32), (many / many.sum()).astype(np.float32)
+    most = int(many.max())
+    many = many if most < 1 << 16 else np.ceil(many * (0xFFFF / most))
+    return seen.astype(np.uint16), many.astype(np.uint16)
+
+
+def shares(many: np.ndarray) -> np.ndarray:
+    return (many / many.sum(dtype=np.int64)).astype(np.float32)
 
 
 def pieces(text: bytes, seed: int) -> list[bytes]:
@@ -98,12 +107,12 @@ class Model:
     reject_below: float = 0.0
 
     def logits(self, table: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        """Mean n-gram scores of plain texts; ``table`` is embedding times output."""
-        out = np.zeros((len(texts), len(self.labels)), dtype=np.float64)
+        """Scores of plain texts. ``table`` is what n-grams add up: of few labels, their scores themselves (embedding times output)."""
+        out = np.zeros((len(texts), table.shape[1]), dtype=np.float64)
         grams = np.zeros(len(texts))
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts])
-        block = max(1, CELLS // max(1, len(self.labels)))
+        block = max(1, CELLS // max(1, table.shape[1]))
         longest = max(GRAMS)
         for s in range(0, len(raw), block):
             part = raw[s : s + block + longest - 1]
@@ -117,14 +126,22 @@ class Model:
                     first = np.flatnonzero(np.diff(doc, prepend=-1))
                     out[doc[first]] += np.add.reduceat(table[h], first, axis=0, dtype=np.float64)
                     grams[doc[first]] += np.diff(np.append(first, len(h)))
-        return out / np.maximum(grams, 1)[:, None] + self.bias
+        out /= np.maximum(grams, 1)[:, None]
+        return (out if self.few() else out @ self.output) + self.bias
+
+    def few(self) -> bool:
+        """Are there fewer labels than an embedding has numbers?"""
+        return len(self.labels) <= WIDTH
+
+    def table(self) -> np.ndarray:
+        return (self.embedding @ self.output if self.few() else self.embedding).astype(np.float32)
 
     def predict(self, texts: list[bytes | None], table: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
         own = [plain(t) for t in texts]
         label, score = [UNKNOWN] * len(own), np.zeros(len(own))
         some = [k for k, t in enumerate(own) if t]
         if some and self.labels:
-            z = self.logits(self.embedding @ self.output if table is None else table, [own[k] for k in some])
+            z = self.logits(self.table() if table is None else table, [own[k] for k in some])
             p = softmax(z / self.temperature)
             best = p.argmax(axis=1)
             for k, b, x in zip(some, best.tolist(), p[np.arange(len(best)), best].tolist(), strict=True):
@@ -147,7 +164,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, labels:
     steps, done = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(bags)):
-            at, share = bags[k]
+            at, share = bags[k][0], shares(bags[k][1])
             rate = RATE * (1 - done / steps)
             done += 1
             mean = share @ e[at]
@@ -181,14 +198,14 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang"
     rows = docs.where(usable & F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")
     )
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
-    share = {r["label"]: min(1.0, sample / r["count"]) for r in counts}
-    if not share:
+    counts = common.written(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
+    many = counts.count()
+    if not many:
         return Model([], np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
-    # Ids whose hash is below the label's share of the hash range: about ``sample`` rows, spread over all files.
+    # Ids whose hash is below the label's share of the hash range: about as many rows as are wanted, spread over all files.
+    wanted = max(LEAST, min(sample, TOTAL // many))
     place = F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    few = rows.withColumn("share", wanted[F.col("label")]).where(F.col("share").isNotNull() & (place < F.col("share")))
+    few = rows.join(F.broadcast(counts) if many <= BROADCAST_LABELS else counts, "label").where((F.col("n") <= wanted) | (place < F.lit(float(wanted)) / F.col("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.chunks(batches, "text"):
@@ -197,18 +214,17 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang"
                 if own := plain(t):
                     seed = int.from_bytes(k.encode()[-8:], "little")
                     made = [bag(p) for p in pieces(own, seed)]
-                    yield pa.RecordBatch.from_pydict({"key": [k], "label": [name], "at": [[m[0] for m in made]], "share": [[m[1] for m in made]]}, schema=shape)
+                    yield pa.RecordBatch.from_pydict({"key": [k], "label": [name], "at": [[m[0].tobytes() for m in made]], "many": [[m[1].tobytes() for m in made]]})
 
-    shape = pa.schema([("key", pa.string()), ("label", pa.string()), ("at", pa.list_(pa.list_(pa.int32()))), ("share", pa.list_(pa.list_(pa.float32())))])
-    got = few.select("key", "label", "text").mapInArrow(run, "key string, label string, at array<array<int>>, share array<array<float>>").toArrow()
-    got = got.sort_by([("label", "ascending"), ("key", "ascending")])
-    labels = sorted(set(got.column("label").to_pylist()))
+    got = few.select("key", "label", "text").mapInArrow(run, "key string, label string, at array<binary>, many array<binary>").toArrow()
+    names, keys = got.column("label").to_pylist(), got.column("key").to_pylist()
+    labels = sorted(set(names))
     number = {x: k for k, x in enumerate(labels)}
     bags, target, held, held_target = [], [], [], []
-    for k in range(got.num_rows):
-        name = number[got["label"][k].as_py()]
-        own = [(np.asarray(a.values), np.asarray(s.values)) for a, s in zip(got["at"][k], got["share"][k], strict=True)]
-        if k % 5 == 0:
+    for turn, k in enumerate(sorted(range(len(names)), key=lambda k: (names[k], keys[k]))):
+        name = number[names[k]]
+        own = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(m.as_buffer(), np.uint16)) for a, m in zip(got["at"][k].values, got["many"][k].values, strict=True)]
+        if turn % 5 == 0:
             held += own
             held_target += [name] * len(own)
         else:
@@ -218,9 +234,12 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", label: str = "lang"
         bags, target, held = held, held_target, []  # too few to keep any
     model = train(bags, np.array(target), labels)
     if held:
-        table = model.embedding @ model.output
-        z = np.stack([s @ table[a] for a, s in held]) + model.bias
+        table = model.table()
+        mean = np.stack([shares(m) @ table[a] for a, m in held])
+        z = (mean if model.few() else mean @ model.output) + model.bias
         calibrate(model, z, np.array(held_target), np.arange(len(held)) % PIECES == 0)
+    del got, bags, held
+    common.settle()
     return model
 
 
@@ -228,7 +247,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """``keep``, lang_pred, score and rejected of every row; one pass, no shuffle. The model is a few MB at most."""
     spark = docs.sparkSession
     common.ship(spark)
-    sent = spark.sparkContext.broadcast((model, (model.embedding @ model.output).astype(np.float32)))
+    sent = spark.sparkContext.broadcast((model, model.table()))
     column = text if text in keep else "__text"  # a text that is kept travels once
     source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
     out = T.StructType([
