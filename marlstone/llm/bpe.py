@@ -252,26 +252,33 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name not in {x.name for x in fields}] + list(fields))
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """``keep`` and ``ids`` (array of int) of every row; no shuffle, one pass."""
+def _encoded(df: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], made: tuple[str, ...]) -> DataFrame:
+    """``keep`` and, by the names of ``made``, the ids of every row's text and, if it has a second name, what they decode to."""
     common.ship(df.sparkSession)
     model = model_broadcast(df.sparkSession, tokenizer)
     column = text if text in keep else "__text"  # a text that is kept travels once
     source = df.select(*keep) if column == text else df.select(*keep, F.col(text).alias(column))
-    out = _with(df.select(*keep).schema, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
+    fields = (T.StructField(made[0], T.ArrayType(T.IntegerType(), False), False), *(T.StructField(n, T.StringType(), False) for n in made[1:]))
+    out = _with(df.select(*keep).schema, *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for rows, texts in common.chunks(batches, column):
-            made = encoder.encode([(t or b"").decode() for t in texts])
-            ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
-            col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made), pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(i) for i, n in enumerate(rows.schema.names) if n not in ("__text", ids)] + [col], names=out.names)
+            ids = encoder.encode([(t or b"").decode() for t in texts])
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
+            cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
+            cols += [pa.array(map(encoder.decode, ids), pa.string()) for _ in made[1:]]
+            yield pa.RecordBatch.from_arrays([rows.column(i) for i, n in enumerate(rows.schema.names) if n not in ("__text", *made)] + cols, names=out.names)
         encoder.forget()
 
     return source.mapInArrow(run, out)
 
 
+def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """``keep`` and ``ids`` (array of int) of every row; no shuffle, one pass."""
+    return _encoded(df, tokenizer, text, keep, (ids,))
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), text: str = "decoded") -> DataFrame:
     """``keep`` and the text of ``ids``; null ids give the empty text."""
     common.ship(df.sparkSession)
@@ -292,8 +299,8 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...
 
 
 def roundtrip(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ids and the text decoded from them."""
-    return decode(encode(df, tokenizer, text, keep), tokenizer, keep=(*keep, "ids"))
+    """``keep``, ids and the text decoded from them; both in one pass, so that a task needs one worker and one set of tables."""
+    return _encoded(df, tokenizer, text, keep, ("ids", "decoded"))
 
 
 def digests(df: DataFrame, tokenizer: str) -> DataFrame:
