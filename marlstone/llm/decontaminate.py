@@ -9,14 +9,15 @@ The benchmark's windows are sent to the executors in blocks of at most ``BLOCK_B
 mean more passes within the same tasks, so that memory doesn't grow with the benchmark.
 
 Defined cases: null texts have no words; items without words have no window; repeated item texts count as items each;
-a null item_id is left out of the listed ids but its windows hit; repeated documents are judged row by row; columns
-other than the named ones aren't read.
+a null item_id is left out of the listed ids (so n_items doesn't count it) but its windows hit; repeated documents are
+judged row by row; an empty table gives an empty table, an empty benchmark hits nothing; a very long text is a shard of
+its own; columns other than the named ones aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +138,8 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``keep``, n_words, spans (array of start and end in words, merged) and item_ids (as strings, sorted) of every row."""
+def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str, item: str, item_text: str, window: int, out: T.StructType, made: Callable) -> DataFrame:
+    """What ``made`` gives for each chunk: from its rows, texts, numbers of words, spans (merged) and names of items."""
     spark = docs.sparkSession
     common.ship(spark)
     held = []
@@ -147,11 +148,6 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
         held.append(spark.sparkContext.broadcast(rows))
     column = text if text in keep else "__text"  # a text that is kept travels once
     source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    out = T.StructType([
-        *docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = [Windows(b.value, window) for b in held] if len(held) == 1 else None
@@ -164,17 +160,30 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                     if len(own[k]):
                         spans[k].append(own[k])
                         names[k].update(w.names[i] for i in items[k] if w.names[i] is not None)
-            joined = [merged(np.concatenate(s)) if s else [] for s in spans]
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns[: len(keep)], pa.array(sizes, pa.int64()),
-                 pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in joined], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array([sorted(n) for n in names], pa.list_(pa.string()))],
-                names=out.names,
-            )
+            yield made(rows, texts, sizes, [merged(np.concatenate(s)) if s else [] for s in spans], names)
 
     return source.mapInArrow(run, out)
 
 
+def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``keep``, n_words, spans (array of start and end in words, merged) and item_ids (as strings, sorted) of every row."""
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    out = T.StructType([
+        *docs.select(*keep).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+    ])
+
+    def made(rows: pa.RecordBatch, texts: list, sizes: np.ndarray, spans: list, names: list[set[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*rows.columns[: len(keep)], pa.array(sizes, pa.int64()),
+             pa.array([[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+             pa.array([sorted(n) for n in names], pa.list_(pa.string()))],
+            names=out.names,
+        )
+
+    return _found(docs, benchmark, keep, text, item, item_text, window, out, made)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document, and its spans."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -204,22 +213,18 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` with all columns, the benchmark's spans cut out of the text. Rows of which no word is left go."""
     own = docs.columns
     names = [f"__c{i}" for i in range(len(own))]
     plain = docs.toDF(*names)
-    mine = names[own.index(text)]
-    found = find(plain, benchmark, keep=tuple(names), text=mine, **options)
-    clean = found.where((F.size("spans") == 0)).select(*names)
-    hit = found.where(F.size("spans") > 0)
+    mine = own.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in common.chunks(batches, mine):
-            spans = rows.column(rows.schema.get_field_index("spans")).to_pylist()
-            made = [cut(t, [(s["start"], s["end"]) for s in sp]) for t, sp in zip(texts, spans, strict=True)]
-            left = pa.array([bool(words_of(t)) for t in made])
-            cols = [pa.array([t.decode() for t in made]) if n == mine else rows.column(rows.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(left)
-
-    return clean.unionByName(hit.mapInArrow(run, plain.schema)).toDF(*own)
+    def made(rows: pa.RecordBatch, texts: list, sizes: np.ndarray, spans: list, items: list[set[str]]) -> pa.RecordBatch:
+        left = [cut(t, s) if len(s) else t for t, s in zip(texts, spans, strict=True)]
+        stay = pa.array([not len(s) or bool(words_of(t)) for t, s in zip(left, spans, strict=True)])
+        kind = rows.column(mine).type
+        cols = [pa.array(left, pa.binary()).cast(kind) if k == mine else rows.column(k) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays(cols, names=names).filter(stay)
+
+    return _found(plain, benchmark, tuple(names), names[mine], item, item_text, window, plain.schema, made).toDF(*own)
