@@ -256,7 +256,7 @@ def _encoded(df: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], ma
     """``keep`` and, by the names of ``made``, the ids of every row's text and, if it has a second name, what they decode to."""
     common.ship(df.sparkSession)
     model = model_broadcast(df.sparkSession, tokenizer)
-    column = text if text in keep else "__text"  # a text that is kept travels once
+    column = text if text in keep else common.free("__text", keep)  # a text that is kept travels once
     source = df.select(*keep) if column == text else df.select(*keep, F.col(text).alias(column))
     fields = (T.StructField(made[0], T.ArrayType(T.IntegerType(), False), False), *(T.StructField(n, T.StringType(), False) for n in made[1:]))
     out = _with(df.select(*keep).schema, *fields)
@@ -268,7 +268,7 @@ def _encoded(df: DataFrame, tokenizer: str, text: str, keep: tuple[str, ...], ma
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
             cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))]
             cols += [pa.array(map(encoder.decode, ids), pa.string()) for _ in made[1:]]
-            yield pa.RecordBatch.from_arrays([rows.column(i) for i, n in enumerate(rows.schema.names) if n not in ("__text", *made)] + cols, names=out.names)
+            yield pa.RecordBatch.from_arrays([rows.column(i) for i, n in enumerate(keep) if n not in made] + cols, names=out.names)
         encoder.forget()
 
     return source.mapInArrow(run, out)
@@ -283,17 +283,17 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...
     """``keep`` and the text of ``ids``; null ids give the empty text."""
     common.ship(df.sparkSession)
     model = model_broadcast(df.sparkSession, tokenizer)
-    source = df.select(*keep, F.col(ids).alias("__ids"))
+    source = df.select(*keep, F.col(ids).alias(common.free("__ids", keep)))
     out = _with(df.select(*keep).schema, T.StructField(text, T.StringType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for rows in batches:
-            lists = rows.column(rows.schema.get_field_index("__ids"))
+            lists = rows.column(len(keep))
             for start in range(0, len(rows), 256):
                 made = [encoder.decode(np.asarray(v.values)) if v.is_valid else "" for v in lists[start : start + 256]]
                 part = rows.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i, n in enumerate(rows.schema.names) if n not in ("__ids", text)] + [pa.array(made, pa.string())], names=out.names)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i, n in enumerate(keep) if n != text] + [pa.array(made, pa.string())], names=out.names)
 
     return source.mapInArrow(run, out)
 

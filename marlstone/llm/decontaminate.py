@@ -146,7 +146,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: s
     for block in _blocks(benchmark, item, item_text):
         rows = [(r.item, r.text) for r in block.collect()]
         held.append(spark.sparkContext.broadcast(rows))
-    column = text if text in keep else "__text"  # a text that is kept travels once
+    column = text if text in keep else common.free("__text", keep)  # a text that is kept travels once
     source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

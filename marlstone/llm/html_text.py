@@ -392,11 +392,12 @@ def text_of(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), text: str = "text") -> DataFrame:
     """``keep`` and the visible text of every row; one pass, no shuffle."""
     common.ship(pages.sparkSession)
-    source = pages.select(*keep, F.col(html).alias("__html"))
+    column = common.free("__html", keep)
+    source = pages.select(*keep, F.col(html).alias(column))
     out = T.StructType([*[f for f in pages.select(*keep).schema.fields], T.StructField(text, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, raw in common.chunks(batches, "__html"):
+        for rows, raw in common.chunks(batches, column):
             made = [text_of(h.decode()) if h else "" for h in raw]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(made, pa.string())], names=out.names)
 

@@ -248,7 +248,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     spark = docs.sparkSession
     common.ship(spark)
     sent = spark.sparkContext.broadcast((model, model.table()))
-    column = text if text in keep else "__text"  # a text that is kept travels once
+    column = text if text in keep else common.free("__text", keep)  # a text that is kept travels once
     source = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
     out = T.StructType([
         *docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

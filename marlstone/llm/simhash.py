@@ -14,7 +14,8 @@ all meet the least first; then those that aren't in one component yet meet each
 
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle make
 one shingle; repeated rows give repeated result rows; a null doc_id is never the smallest unless all of a component are
-null; columns other than doc_id and text aren't read.
+null; an empty table gives an empty table; a very long text is laid out in bits piece by piece, or, in the exact form,
+compared as one set of hashes; columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -121,11 +122,12 @@ def fingerprint(hashes: np.ndarray) -> np.uint64:
 def fingerprints(df: DataFrame, text: str = "text", words: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``fp`` (the fingerprint's bits as a long) of every row; one pass, no shuffle."""
     common.ship(df.sparkSession)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    column = common.free("__text", keep)
+    source = df.select(*keep, F.col(text).alias(column))
     out = T.StructType([*df.select(*keep).schema.fields, T.StructField("fp", T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in common.chunks(batches, "__text"):
+        for rows, texts in common.chunks(batches, column):
             fp = fingerprint_of(texts, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(fp)], names=out.names)
 
@@ -315,11 +317,8 @@ def common_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     return h[order], n[order]
 
 
-def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The same columns, with documents linked just from this Jaccard similarity of their shingle sets on.
-
-    The fingerprint is that of the distinct shingles.
-    """
+def _groups(df: DataFrame, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, th: hash of the text, fp, node: their set of shingles), nodes with their smallest doc_id, and the roots of linked nodes."""
     spark = df.sparkSession
     common.ship(spark)
     source = df.select("doc_id", F.col(text).alias("__text"))
@@ -357,7 +356,16 @@ def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float
         dealt = long_.join(roots, long_.fp == roots.node, "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
         more = _linked(dealt, n, partial(_across, similarity=similarity), SHARD)
         found = found.unionByName(_verified(more, source, nodes, words, similarity))
-    return _named(docs.select("doc_id", "fp", "node"), nodes.select("node", "first"), components(found), "node")
+    return docs.select("doc_id", "th", "fp", "node"), nodes.select("node", "first"), components(found)
+
+
+def similar(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The same columns, with documents linked just from this Jaccard similarity of their shingle sets on.
+
+    The fingerprint is that of the distinct shingles.
+    """
+    docs, nodes, roots = _groups(df, text, words, similarity)
+    return _named(docs.drop("th"), nodes, roots, "node")
 
 
 def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, key: str = "fp") -> DataFrame:
@@ -370,13 +378,20 @@ def _named(docs: DataFrame, nodes: DataFrame, roots: DataFrame, key: str = "fp")
 
 
 def representatives(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df``, with all columns, one of each component of ``similar``: that with the smallest doc_id.
+    """The rows of ``df``, with all columns, one of each component of ``similar``.
 
-    Of rows that repeat this id one stays. Rows without an id can't be told apart and stay.
+    It is the row with the smallest doc_id (none last), then the smallest hash of the text; of rows that agree in both, any
+    one. So an id that several texts have names several documents, each judged by its text. An empty table stays empty.
     """
-    found = similar(df.select("doc_id", F.col(text).alias("text")), "text", words, similarity)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    named, nameless = df.where(F.col("doc_id").isNotNull()), df.where(F.col("doc_id").isNull())
-    # A hint for one plan at every size: texts and ids meet in sorted partitions, where repeated ids lie side by side.
-    kept = named.join(first.hint("merge"), named.doc_id == first["__first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(nameless)
+    plain = df.select("doc_id", F.col(text).alias("text"))
+    docs, _, roots = _groups(plain, "text", words, similarity)
+    roots = roots.toDF("__node", "root")
+    rooted = docs.join(roots, docs.node == roots["__node"], "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    first = common.written(first.select(F.col("f.doc_id").alias("__first"), F.col("f.th").alias("__th")), "first")
+    rows = df.withColumn("__th_own", F.coalesce(F.xxhash64(text), F.lit(0)))
+    # A hint for one plan at every size: texts and ids meet in sorted partitions, where repeated rows lie side by side.
+    named, nameless = first.where(F.col("__first").isNotNull()), first.where(F.col("__first").isNull())
+    kept = rows.where(F.col("doc_id").isNotNull()).join(named.hint("merge"), (F.col("doc_id") == F.col("__first")) & (F.col("__th_own") == F.col("__th")), "left_semi")
+    other = rows.where(F.col("doc_id").isNull()).join(nameless.hint("merge"), F.col("__th_own") == F.col("__th"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__th_own"]).unionByName(other.dropDuplicates(["__th_own"])).drop("__th_own")

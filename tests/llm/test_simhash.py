@@ -181,7 +181,18 @@ def test_a_large_group_of_similar_documents_in_many_cells(spark, monkeypatch):
 def test_representatives_of_repeated_and_nameless_rows(spark):
     rows = [(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, "A b c d e f", "y"), (None, "a b c d e f", "z"), (9, None, None), (8, "", None)]
     got = simhash.representatives(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((r.doc_id or 0, r.fp or "") for r in got) == [(0, "z"), (3, "x"), (8, "")]
+    assert sorted((r.doc_id or 0, r.fp or "") for r in got) == [(3, "x"), (8, "")]
+    assert simhash.representatives(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_an_id_with_several_texts_names_several_documents(spark):
+    one, other, third = "a b c d e f g h", "one two three four five six seven", "x y z u v w x y z"
+    run = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.representatives(spark.createDataFrame([(i, t, None) for i, t in rows], DOCS)).collect()), key=str)
+    assert run([(5, one), (5, other)]) == sorted([(5, one), (5, other)], key=str)
+    assert run([(2, one), (5, one), (5, other)]) == sorted([(2, one), (5, other)], key=str)
+    assert run([(None, one), (None, other), (None, one)]) == sorted([(None, one), (None, other)], key=str)
+    assert run([(None, one), (7, one), (None, third)]) == sorted([(7, one), (None, third)], key=str)
+    assert len(run([(5, one), (5, one.upper())])) == 1
 
 
 def test_similar_is_exact_at_the_similarity(spark):
