@@ -1,18 +1,23 @@
 """Layout-aware rendering of HTML: a tree builder with implied tags, visibility rules, and a renderer for visible text.
 
 Blocks start on lines of their own, with a blank line around those that have margins; list items get bullets or numbers
-and the depth's indent; table cells are laid out in columns; ``pre`` keeps its white space; elsewhere white space
-collapses. Nothing visible is dropped. Building and rendering keep explicit stacks, so depth is no limit.
+and the depth's indent; table cells are laid out in columns, spans over several columns and rows included; ``pre`` and
+``textarea`` keep their white space; elsewhere white space collapses. Nothing visible is dropped: options and fallbacks
+of objects without data show, of closed ``details`` the summary, of drawings the text, and what is visible within
+invisible elements. Closed dialogs, fallbacks of players and canvases, and what styles or attributes hide, don't show. The
+end tag of a hidden or replaced element ends it whatever is open inside, so that it never swallows what follows. Building
+and rendering keep explicit stacks, so depth is no limit.
 
 Defined cases: null and empty html give the empty text; unclosed tags end where their parent ends, a tag that the end of
 the page cuts off is dropped, as browsers do; a column wider than ``PAD`` characters doesn't widen the other rows; bad
-list numbers count as 1; repeated rows are rendered one by one; columns other than the named ones aren't read.
+list numbers and spans count as 1; repeated rows are rendered one by one; an empty table gives an empty table; a very long
+page is one row's work, in time proportional to its length; columns other than the named ones aren't read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -32,8 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("textarea title".split())
 HIDDEN = frozenset(
-    "area audio base canvas datalist embed head iframe link meta noembed noframes object param rp script select source style svg template "
-    "textarea title track video".split()
+    "area audio base canvas datalist defs desc embed head iframe link meta metadata noembed noframes param rp script source style symbol template "
+    "title track video".split()
 )
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 BLOCKS = SPACED | frozenset(
@@ -45,13 +50,13 @@ CLOSES_P = frozenset(
     "hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split()
 )
 LISTS = frozenset("ol ul menu dir".split())
+#: Their end tags end whatever is open inside, up to the scope.
+REPLACED = frozenset("applet audio canvas datalist marquee math noscript object select svg video".split())
 #: An opening tag ends the open elements of the first set, up to an element of the second.
 IMPLIED = {
     "li": (frozenset({"li"}), LISTS),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup"})),
-    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
     "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
     "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
     "tr": (frozenset({"td", "th", "tr", "caption", "colgroup"}), frozenset({"table"})),
@@ -67,7 +72,7 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_STYLE_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 
 
 @dataclass(slots=True)
@@ -127,16 +132,16 @@ def tree(html: str) -> Node:
     """The document's tree; every element has the place that implied start and end tags give it."""
     root = Node("html")
     stack = [root]
-    is_open: Counter = Counter()  # so that an end tag without its element costs no walk
+    places: dict[str, list[int]] = {}  # of open elements by name, so that an end tag without its element costs no walk
 
     def end(k: int) -> None:
-        for x in stack[k:]:
-            is_open[x.tag] -= 1
+        for x in reversed(stack[k:]):
+            places[x.tag].pop()
         del stack[k:]
 
     def close(names: frozenset, until: frozenset) -> None:
         """End the innermost open element of ``names``, if nothing of ``until`` is between."""
-        if not any(is_open[x] for x in names):
+        if not any(places.get(x) for x in names):
             return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
@@ -148,8 +153,8 @@ def tree(html: str) -> Node:
         node = Node(name, own)
         stack[-1].children.append(node)
         if stays:
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
-            is_open[name] += 1
 
     for kind, name, rest in tokens(html):
         if kind in ("text", "raw"):
@@ -161,12 +166,16 @@ def tree(html: str) -> Node:
                 continue
             if name == "br":
                 open_("br", {}, False)
-            elif name == "p" and not is_open["p"]:
+            elif name == "p" and not places.get("p"):
                 open_("p", {}, False)
             elif name in SCOPE:
                 close(frozenset({name}), frozenset({"table"}) if name in ("td", "th", "caption") else frozenset())
+            elif name in BLOCKS:
+                close(frozenset({name}), SCOPE)
+            elif places.get(name) and hides(stack[places[name][-1]]):
+                end(places[name][-1])
             else:  # an inline element's end tag doesn't end blocks within it
-                close(frozenset({name}), SCOPE if name in BLOCKS else SCOPE | BLOCKS)
+                close(frozenset({name}), SCOPE if name in REPLACED else SCOPE | BLOCKS)
         else:
             if name == "html":
                 root.attributes = attributes(rest) | root.attributes
@@ -175,6 +184,9 @@ def tree(html: str) -> Node:
                 end(len(stack) - 1)
             if name in CLOSES_P:
                 close(frozenset({"p"}), SCOPE)
+            for own in ("option", "optgroup") if name == "optgroup" else ("option",) if name == "option" else ():
+                if stack[-1].tag == own:
+                    end(len(stack) - 1)
             if name in IMPLIED:
                 names, until = IMPLIED[name]
                 before = -1
@@ -187,11 +199,21 @@ def tree(html: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return False
+def styled(node: Node) -> dict[str, str]:
+    """The element's own display and visibility; the last declaration counts."""
+    style = node.attributes.get("style") if node.attributes else None
+    return {k.lower(): v.lower() for k, v in _STYLE.findall(style)} if style else {}
+
+
+def hides(node: Node) -> bool:
+    """Does the element take no place, with all that is in it?"""
     a = node.attributes
-    return not a or not ("hidden" in a and a["hidden"].lower() != "until-found" or "style" in a and _STYLE_HIDES.search(a["style"]))
+    if node.tag in HIDDEN or node.tag == "object" and "data" in a or node.tag == "dialog" and "open" not in a:
+        return True
+    if not a:
+        return False
+    display = styled(node).get("display")
+    return display == "none" if display else "hidden" in a and a["hidden"].lower() != "until-found"
 
 
 class _Canvas:
@@ -259,24 +281,63 @@ class _Canvas:
 
 
 class _Table:
-    __slots__ = ("rows",)
+    """Cells by row: (first column, columns, lines). Cells of rows above may reach down."""
+
+    __slots__ = ("down", "rows")
 
     def __init__(self) -> None:
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+        self.down: list[tuple[int, int, int]] = []  # [start, end) of columns taken up to a row
+
+    def row(self) -> None:
+        self.rows.append([])
+        now = len(self.rows) - 1
+        left: list[tuple[int, int, int]] = []
+        for start, stop, until in sorted(x for x in self.down if x[2] > now):
+            if left and left[-1][1] == start and left[-1][2] == until:
+                left[-1] = (left[-1][0], stop, until)
+            else:
+                left.append((start, stop, until))
+        self.down = left
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        if not self.rows:
+            self.row()
+        own = self.rows[-1]
+        at = own[-1][0] + own[-1][1] if own else 0
+        now = len(self.rows) - 1
+        k = bisect_left(self.down, (at, -1, -1))
+        for start, stop, until in self.down[max(0, k - 1) :]:
+            if start > at:
+                break
+            at = stop if stop > at and until > now else at
+        own.append((at, columns, lines))
+        if rows != 1:
+            insort(self.down, (at, at + columns, now + rows if rows else 1 << 40))
 
     def lay_out(self) -> list[str]:
-        """Rows of cells as lines, each column as wide as its widest cell needs (``PAD`` at most)."""
-        width: list[int] = []
-        for row in self.rows:
-            for k, cell in enumerate(row):
-                most = max(map(len, cell), default=0)
-                if k == len(width):
-                    width.append(0)
-                width[k] = max(width[k], min(most, PAD))
+        """Rows of cells as lines, each column as wide as its widest cell needs (``PAD`` at most); a wide cell widens its last column."""
+        starts = sorted({at for row in self.rows for at, _, _ in row})
+        width = [0] * len(starts)
+        for many in (False, True):
+            for row in self.rows:
+                for at, columns, lines in row:
+                    first, stop = bisect_left(starts, at), bisect_left(starts, at + columns)
+                    if (stop - first > 1) == many:
+                        need = min(max(map(len, lines), default=0), PAD)
+                        width[stop - 1] += max(0, need - sum(width[first:stop]) - 2 * (stop - first - 1))
+        place, edge = {}, 0
+        for at, w in zip(starts, width, strict=True):
+            place[at] = edge
+            edge += w + 2
         out = []
         for row in self.rows:
-            for n in range(max(map(len, row), default=0)):
-                out.append("  ".join((cell[n] if n < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
+            for n in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for k, (at, _, lines) in enumerate(row):
+                    line = line.ljust(place[at]) if not k or len(line) + 2 <= place[at] else f"{line}  "
+                    line += lines[n] if n < len(lines) else ""
+                out.append(line.rstrip())
         return out
 
 
@@ -286,12 +347,15 @@ def render(root: Node) -> str:
     canvas = [page]
     tables: list[_Table] = []
     counters: list[list[int | None]] = []
-    pre = 0
+    pre = svg = svg_text = 0
+    mute = [False]
     todo: list[tuple] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         now = canvas[-1]
         if isinstance(node, str):
+            if mute[-1] or svg and not svg_text:
+                continue
             if pre:
                 now.kept(node.replace("\r\n", "\n").replace("\t", "    ").split("\n"))
             elif not (_between_cells(leaving) and not node.strip()):
@@ -299,9 +363,13 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if hides(node):
                 continue
             todo.append((node, True))
+            if node.attributes and (seen := styled(node).get("visibility")):
+                mute.append(seen in ("hidden", "collapse") if seen != "inherit" else mute[-1])
+            svg += tag == "svg"
+            svg_text += tag in _DRAWN
             if tag == "br":
                 if now.line:
                     now.end_line()
@@ -313,7 +381,7 @@ def render(root: Node) -> str:
                 now.blank()
                 tables.append(_Table())
             elif tag == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].row()
             elif tag in ("td", "th") and tables:
                 canvas.append(_Canvas())
             elif tag in LISTS:
@@ -328,8 +396,8 @@ def render(root: Node) -> str:
                 if count[0] is not None:
                     count[0] += 1
                 now.marks.append([2 * max(0, len(counters) - 1), bullet])
-            elif tag == "pre":
-                now.blank()
+            elif tag in ("pre", "textarea"):
+                (now.blank if tag == "pre" else now.end_line)()
                 pre += 1
             elif tag in SPACED:
                 now.gap = True if not now.marks else now.gap
@@ -338,21 +406,26 @@ def render(root: Node) -> str:
                 now.end_line()
             elif tag == "q":
                 now.text('"')
-            todo += [(c, c.__class__ is str and tag) for c in reversed(node.children)] if tag not in VOID else []
-            if tag == "pre" and node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
+            children = node.children
+            if tag == "details" and "open" not in node.attributes:
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            todo += [(c, c.__class__ is str and tag) for c in reversed(children)] if tag not in VOID else []
+            if tag in ("pre", "textarea") and node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                 todo[-1] = (node.children[0][1:], tag)
-        elif tag == "table":
+            continue
+        if node.attributes and "visibility" in styled(node):
+            mute.pop()
+        svg -= tag == "svg"
+        svg_text -= tag in _DRAWN
+        if tag == "table":
             made = tables.pop().lay_out()
             now.blank()
             now.kept(made)
             now.blank()
         elif tag in ("td", "th") and tables:
-            cell = canvas.pop().done()
-            if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].rows[-1].append(cell)
-        elif tag == "tr" and tables:
-            pass
+            tables[-1].cell(canvas.pop().done(), max(1, _span(node, "colspan", 1000)), _span(node, "rowspan", 65534))
+        elif tag in ("tbody", "thead", "tfoot") and tables:
+            tables[-1].down.clear()  # cells don't reach out of their group
         elif tag in LISTS:
             counters.pop()
             (now.end_line if counters else now.blank)()
@@ -360,9 +433,9 @@ def render(root: Node) -> str:
             now.end_line()
             if now.marks:
                 now.marks.pop()
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             pre -= 1
-            now.blank()
+            (now.blank if tag == "pre" else now.end_line)()
         elif tag in SPACED and tag != "hr":
             now.end_line()
             now.gap = True if not now.marks else now.gap
@@ -373,6 +446,10 @@ def render(root: Node) -> str:
     return "\n".join(page.done())
 
 
+#: Elements of drawings whose text shows.
+_DRAWN = frozenset({"text", "foreignobject"})
+
+
 def _between_cells(parent) -> bool:
     """White space between rows and cells isn't text."""
     return parent in ("table", "tbody", "thead", "tfoot", "tr")
@@ -385,6 +462,12 @@ def _number(text: str | None) -> int:
         return 1
 
 
+def _span(node: Node, name: str, most: int) -> int:
+    """Columns or rows of a cell; 0 rows are all that are left of the group."""
+    found = re.match(r"[ \t\n\r\f]*\+?([0-9]{1,9})", node.attributes.get(name, ""))
+    return min(int(found[1]), most) if found else 1
+
+
 def text_of(html: str | None) -> str:
     return render(tree(html)) if html else ""
 
