@@ -7,10 +7,13 @@ fingerprints is split, and each part's tree meets each part's queries in a cell
 forest of its links, never all pairs: components need no more. Equal fingerprints are one node from the start.
 
 ``similar`` is the exact form, for a Jaccard similarity of shingle sets. Nodes are distinct sets of shingles. In one order of all
-shingles a set's prefix is so long that two sets of the similarity must share a shingle of their prefixes; every shingle's
-list gives candidates, less those that sizes, positions and sketches rule out for sure, and the others' whole sets are compared. The
-order (common shingles last, as a sample shows them) changes the number of candidates only. In lists of more than ``MEET`` sets
-all meet the least first; then those that aren't in one component yet meet each other, in cells like those above.
+shingles a set's prefix is so long that two sets of the similarity must share a shingle of their prefixes; so every shingle
+has a list of sets, and candidates share a list. First every set of a list meets the list's first one: that many pairs a list
+row, not a square. What their comparison links is labelled; then the sets of a list meet all others of it that have another
+label, in cells like those above, where sizes, positions and sketches rule out, for sure, pairs that can't be similar, before
+they are told; at first a cell tells a spanning forest of the rest only, by the sketches' likeness, and after another
+labelling all that still have different labels. Whole sets are compared for every pair that is told. The order (common
+shingles last, as a sample shows them) changes the number of candidates only.
 
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other; fewer words than a shingle make
 one shingle; repeated rows give repeated result rows; a null doc_id is never the smallest unless all of a component are
@@ -44,10 +47,12 @@ BLOCKS = 7
 BROADCAST_ROWS = 100_000
 #: Hashes whose bits are laid out at once.
 BITS_AT_ONCE = 1 << 14
-#: The exact form: documents that show which shingles are common, such shingles at most, sets of a list that all meet at once.
+#: The exact form: documents that show which shingles are common, such shingles at most, sets of a list that meet in one step.
 SAMPLE, COMMON, MEET = 8_000, 100_000, 64
-#: Bits of a sketch, at least.
+#: Bits of a sketch, at least; a brief one has just so many.
 LEAST_BITS = 512
+#: Candidates that a task holds before it thins them.
+AT_ONCE = 1_000_000
 #: Slack for rounding in bounds of the candidates; the comparison itself has none.
 ROUNDING = 1e-6
 #: Rows that a task gets in the search, about.
@@ -87,6 +92,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def brief(sketch_: bytes) -> bytes:
+    """The sketch of the fewest bits, from a larger one."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch_, dtype=np.uint8).reshape(-1, LEAST_BITS // 8)).tobytes()
+
+
 def apart(a: bytes, b: bytes) -> int:
     """A lower bound of the number of hashes that one of two sets has, from their sketches."""
     x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
@@ -205,63 +215,144 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = 4, radius: i
 
 
 def _met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) from whole lists of key, node, size and pos; rows of long lists come out too, with their key."""
+    """Rows of lists (key, node, size, pos) in order of key and node: candidates (a, b) of each row with its list's first, and the rows
+    of lists of three or more, with their key. A batch at a time: a list of any length needs no more memory.
+    """
+    names = ("key", "node", "size", "pos")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def told(key, a, b, size, pos) -> pa.RecordBatch:
+        n = len(a)
+        cols = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip((key, a, b, size, pos), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "size", "pos"])
+
+    held: dict[str, np.ndarray] = {}  # the last list's first two rows, with their places
+    for batch in batches:
+        if not len(batch):
+            continue
+        col = {n: np.asarray(batch.column(k)) for k, n in enumerate(names)}
+        known = len(held["place"]) if held else 0
+        both = {n: np.concatenate([held[n], c]) if held else c for n, c in col.items()}
+        n = known + len(batch)
+        start = np.flatnonzero(np.append(True, both["key"][1:] != both["key"][:-1]))
+        begin = np.repeat(start, np.diff(np.append(start, n)))
+        place = np.arange(n) - begin
+        if known:
+            more = (begin == 0) & (np.arange(n) >= known)
+            place[more] = held["seen"][0] + np.arange(int(more.sum()))
+        fresh = np.arange(n) >= known
+        b = np.flatnonzero(fresh & (place > 0))
+        a = begin[b]
+        ok = may_be_similar(both["size"][a], both["pos"][a], both["size"][b], both["pos"][b], similarity)
+        pairs = np.unique(np.stack([both["node"][a[ok]], both["node"][b[ok]]], axis=1), axis=0)
+        if len(pairs):
+            yield told(None, pairs[:, 0].copy(), pairs[:, 1].copy(), None, None)
+        third = np.flatnonzero(fresh & (place == 2))
+        crowd = np.sort(np.concatenate([begin[third], begin[third] + 1, np.flatnonzero(fresh & (place >= 2))]))
+        if len(crowd):
+            yield told(both["key"][crowd], both["node"][crowd], None, both["size"][crowd], both["pos"][crowd])
+        last = begin[-1]
+        keep = np.arange(last, min(last + 2, n)) if last or not known else np.arange(0, min(2, n))
+        held = {name: c[keep] for name, c in both.items()} | {"place": place[keep], "seen": np.array([place[-1] + 1])}
+
+
+def spanning(group: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges a-b of a lightest spanning forest over groups of nodes: in each step every group's lightest edge out of it."""
+    chosen, left = [], np.arange(len(a))
+    while True:
+        x, y = group[a[left]], group[b[left]]
+        left = left[x != y]
+        if not len(left):
+            return np.unique(np.concatenate(chosen)) if chosen else left
+        x, y = group[a[left]], group[b[left]]
+        order = np.lexsort((left, weight[left]))  # ties by place: two groups never pick edges that close a ring
+        both = np.concatenate([x[order], y[order]])
+        rank = np.concatenate([order, order])
+        by = np.argsort(np.concatenate([np.arange(len(order))] * 2), kind="stable")
+        _, first = np.unique(both[by], return_index=True)
+        picked = left[np.unique(rank[by][first])]
+        chosen.append(picked)
+        label = join_labels(np.arange(int(group.max()) + 1), group[a[picked]], group[b[picked]])
+        group = label[group]
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates in the cells of a task whose labels differ; all, or a spanning forest of them in each cell.
+
+    Rows: shard, part, other, in_tree, asks, fp (the node), size, pos, label and brief.
+    """
     got = [b for b in batches if len(b)]
     if not got:
         return
     rows = pa.Table.from_batches(got)
     del got
-    key, node, size, pos = (np.asarray(rows.column(n)) for n in ("key", "node", "size", "pos"))
-    order = np.lexsort((node, key))
-    key, node, size, pos = (x[order] for x in (key, node, size, pos))
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    many = np.diff(np.append(start, len(key)))
-    first, many = np.repeat(start, many), np.repeat(many, many)
-    long_ = np.flatnonzero(many > MEET)
-    left, right = [first[long_]], [long_]
-    short = np.flatnonzero((many > 1) & (many <= MEET))
-    for d in range(1, MEET):
-        a, b = short[:-d], short[d:]
-        same = first[a] == first[b]
-        if not same.any():
-            break
-        left.append(a[same])
-        right.append(b[same])
-    a, b = np.concatenate(left), np.concatenate(right)
-    ok = (a != b) & may_be_similar(size[a], pos[a], size[b], pos[b], similarity)
-    pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], axis=1), axis=0)
-    for k in range(0, len(pairs), 65536):
-        part = pairs[k : k + 65536]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), none.cast(pa.int32()), none.cast(pa.int32())], names=["key", "a", "b", "size", "pos"])
-    for k in range(0, len(long_), 65536):
-        n = long_[k : k + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(key[n]), pa.array(node[n]), pa.nulls(len(n), pa.int64()), pa.array(size[n]), pa.array(pos[n])], names=["key", "a", "b", "size", "pos"])
-
-
-def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Candidates in the cells of a task whose labels differ. Rows: shard, part, other, in_tree, asks, fp (the node), size, pos and label."""
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
     col = {n: np.asarray(rows.column(n)) for n in ("shard", "part", "other", "fp", "size", "pos", "label")}
     tree, asks = (np.asarray(rows.column(n).combine_chunks().cast(pa.uint8())).astype(bool) for n in ("in_tree", "asks"))
+    bits = np.frombuffer(b"".join(rows.column("brief").to_pylist()), dtype=np.uint64).reshape(len(rows), -1)
     order = np.lexsort((col["other"], col["part"], col["shard"]))
-    col, tree, asks = {n: x[order] for n, x in col.items()}, tree[order], asks[order]
+    col, tree, asks, bits = {n: x[order] for n, x in col.items()}, tree[order], asks[order], bits[order]
     new = np.zeros(len(order), dtype=bool)
     new[0] = True
     for n in ("shard", "part", "other"):
         new[1:] |= col[n][1:] != col[n][:-1]
     edge = np.append(np.flatnonzero(new), len(order))
+    many = np.diff(edge)
     node, size, pos, label = (col[n] for n in ("fp", "size", "pos", "label"))
-    for low, high in zip(edge[:-1], edge[1:], strict=True):
-        t = low + np.flatnonzero(tree[low:high])
-        for q in low + np.flatnonzero(asks[low:high]):
-            b = t[label[t] != label[q]]
-            b = b[may_be_similar(size[q], pos[q], size[b], pos[b], similarity)]
-            if len(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[q], node[b])), pa.array(np.maximum(node[q], node[b]))], names=["a", "b"])
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        ok = (label[a] != label[b]) & may_be_similar(size[a], pos[a], size[b], pos[b], similarity)
+        a, b = a[ok], b[ok]
+        least = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1)
+        most = (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + ROUNDING
+        ok = least <= most
+        return a[ok], b[ok], least[ok] / most[ok]
+
+    def told(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], axis=1), axis=0)
+        for k in range(0, len(pairs), 1 << 16):
+            part = pairs[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+
+    def thinned(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for x in found:
+            if not forest:
+                yield from told(*x[:2])
+                continue
+            held.append(x)
+            if sum(len(y[0]) for y in held) > AT_ONCE:
+                held = [lightest(held)]
+        if held:
+            yield from told(*lightest(held)[:2])
+
+    def lightest(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        a, b, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+        own = spanning(group, a, b, weight)
+        return a[own], b[own], weight[own]
+
+    cell = np.repeat(np.arange(len(many)), many)
+    group = np.unique(np.stack([cell, label]), axis=1, return_inverse=True)[1].ravel()
+    short = np.flatnonzero((many[cell] <= MEET) & tree & asks)  # cells of one part: every row is in the tree and asks
+
+    def by_distance() -> Iterator[tuple[np.ndarray, ...]]:
+        for d in range(1, MEET):
+            a, b = short[:-d], short[d:]
+            same = np.flatnonzero(cell[a] == cell[b])
+            if not len(same):
+                return
+            for k in range(0, len(same), 1 << 16):
+                yield near(a[same[k : k + (1 << 16)]], b[same[k : k + (1 << 16)]])
+
+    def by_query(low: int, high: int) -> Iterator[tuple[np.ndarray, ...]]:
+        t, q = (low + np.flatnonzero(x[low:high]) for x in (tree, asks))
+        step = max(1, (1 << 16) // max(1, len(t)))
+        for j in range(0, len(q), step):
+            part = q[j : j + step]
+            yield near(np.repeat(part, len(t)), np.tile(t, len(part)))
+
+    yield from thinned(by_distance())
+    for k in np.flatnonzero((many > MEET) | ~np.minimum.reduceat(tree & asks, edge[:-1])):
+        yield from thinned(by_query(edge[k], edge[k + 1]))
 
 
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -327,7 +418,7 @@ def _groups(df: DataFrame, text: str, words: int, similarity: float) -> tuple[Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in common.chunks(batches, "__text"):
-            fp, node, size, keys, sketches = [], [], [], [], []
+            fp, node, size, keys, sketches, briefs = [], [], [], [], [], []
             for t in texts:
                 hashes = np.unique(hashes_of(t, words))
                 fp.append(fingerprint(hashes))
@@ -335,26 +426,30 @@ def _groups(df: DataFrame, text: str, words: int, similarity: float) -> tuple[Da
                 size.append(len(hashes))
                 keys.append(prefix(hashes, similarity, often, ranks))
                 sketches.append(sketch(hashes))
+                briefs.append(brief(sketches[-1]))
             ends = np.cumsum([0, *map(len, keys)])
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (fp, node)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *longs, pa.array(size, pa.int32()), held, pa.array(sketches, pa.binary())], names=["doc_id", "th", "fp", "node", "size", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *longs, pa.array(size, pa.int32()), held, pa.array(sketches, pa.binary()), pa.array(briefs, pa.binary())], names=["doc_id", "th", "fp", "node", "size", "keys", "sketch", "brief"])
 
-    shape = f"doc_id {kind}, th long, fp long, node long, size int, keys array<long>, sketch binary"
+    shape = f"doc_id {kind}, th long, fp long, node long, size int, keys array<long>, sketch binary, brief binary"
     hashed = source.select("doc_id", F.coalesce(F.xxhash64("__text"), F.lit(0)).alias("th"), "__text")
     docs = common.written(hashed.mapInArrow(run, shape), "signatures")
     # Documents of one set of shingles are one node.
-    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "nodes")
     lists = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key")).select("key", "node", "size", "pos")
     rows = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS / 4))
-    met = common.written(lists.repartition(parts, "key").mapInArrow(partial(_met, similarity=similarity), "key long, a long, b long, size int, pos int"), "met")
+    lists = lists.repartition(parts, "key").sortWithinPartitions("key", "node")
+    met = common.written(lists.mapInArrow(partial(_met, similarity=similarity), "key long, a long, b long, size int, pos int"), "met")
     found = _verified(met.where("key is null").select("a", "b"), source, nodes, words, similarity)
-    long_ = met.where("key is not null").select(F.lit(0).alias("choice"), F.col("key").alias("shard"), F.col("a").alias("fp"), "size", "pos")
-    if n := long_.count():
-        roots = components(found)
-        dealt = long_.join(roots, long_.fp == roots.node, "left").withColumn("label", F.coalesce("root", "fp")).drop("node", "root")
-        more = _linked(dealt, n, partial(_across, similarity=similarity), SHARD)
+    crowd = met.where("key is not null").select(F.lit(0).alias("choice"), F.col("key").alias("shard"), F.col("a").alias("fp"), "size", "pos")
+    n = crowd.count()
+    for forest in (True, False) if n else ():
+        roots = components(found).select(F.col("node").alias("__node"), "root")
+        known = nodes.join(roots, nodes.node == roots["__node"], "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("label"), "brief")
+        dealt = common.written(crowd.join(known, "fp"), "crowd")
+        more = common.written(_linked(dealt, n, partial(_across, similarity=similarity, forest=forest), SHARD), "across")
         found = found.unionByName(_verified(more, source, nodes, words, similarity))
     return docs.select("doc_id", "th", "fp", "node"), nodes.select("node", "first"), components(found)
 

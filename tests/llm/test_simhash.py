@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -234,3 +235,35 @@ def test_sketches_never_rule_out_a_similar_pair():
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             b = np.unique(np.concatenate([a[round(share * n) :], rng.integers(0, 1 << 63, round(share * n / 2)).astype(np.uint64)]))
             assert simhash.apart(simhash.sketch(a), simhash.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_lists_in_batches_are_lists_at_once():
+    rng = np.random.default_rng(4)
+    key = np.sort(np.concatenate([rng.integers(0, 60, 150), np.full(80, 61), np.arange(62, 90)]))
+    table = pa.table({"key": key, "node": np.arange(len(key)), "size": np.full(len(key), 100, np.int32), "pos": np.zeros(len(key), np.int32)})
+    want_pairs, want_crowd = set(), []
+    for k in np.unique(key):
+        own = np.flatnonzero(key == k).tolist()
+        want_pairs |= {(own[0], x) for x in own[1:]}
+        want_crowd += [(int(k), x) for x in own] if len(own) > 2 else []
+    for size in (1, 2, 3, 40, 1000):
+        out = [r for x in simhash._met(iter(table.to_batches(max_chunksize=size)), 0.8) for r in x.to_pylist()]
+        assert {(r["a"], r["b"]) for r in out if r["key"] is None} == want_pairs
+        assert sorted((r["key"], r["a"]) for r in out if r["key"] is not None) == sorted(want_crowd)
+
+
+def test_lightest_spanning_forests():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        group = rng.integers(0, n, n)
+        a, b, weight = rng.integers(0, n, 120), rng.integers(0, n, 120), rng.integers(0, 9, 120)
+        own = simhash.spanning(group, a, b, weight)
+        root = list(range(n))
+        find = lambda x, root=root: x if root[x] == x else find(root[x], root)
+        total = taken = 0
+        for k in np.argsort(weight, kind="stable"):
+            x, y = find(group[a[k]]), find(group[b[k]])
+            if x != y:
+                root[x], total, taken = y, total + weight[k], taken + 1
+        assert len(own) == taken and weight[own].sum() == total
