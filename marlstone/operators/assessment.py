@@ -124,10 +124,8 @@ def is_current(assessments: DataFrame, current_keys: DataFrame, policy: str = po
 CATEGORY = "DUPLICATE_CANDIDATE_ASSESSMENT_BATCH_CONFLICT"
 #: Conflict codes in their order.
 BATCH_CODES = (
-    "observations_not_tuple", "empty_current_observations", "observation_not_available", "unsupported_observation", "observation_key_content_conflict",
-    "duplicate_publication_ref", "unsupported_generation_result", "unsupported_candidate_policy", "unsupported_assessment_policy",
-    "generation_current_keys_mismatch", "candidate_binding_mismatch", "unexpected_pair_not_assessed", "downstream_assessment_conflict",
-    "item_identity_content_conflict", "batch_identity_content_conflict",
+    "empty_current_observations", "observation_not_available", "observation_key_content_conflict", "duplicate_publication_ref",
+    "unsupported_candidate_policy", "unsupported_assessment_policy", "generation_current_keys_mismatch", "candidate_binding_mismatch",
 )
 
 
@@ -214,7 +212,9 @@ def assess_batch(generation: blocking.Generation, current: DataFrame, policy: st
         bindings = generation.rows.limit(0).select(*IDENTITY, none.cast("string").alias("policy_version"), none.cast("int").alias("kind_pos"), none.cast("string").alias("kind"))
         pairs = generation.rows
     else:
-        bindings = binding_mismatches(supplied, generation.input_keys, None)
+        # Where the current keys are the generation's, and nothing is wrong with them, a candidate's must be the current ones too.
+        held = blocking.input_conflicts(current, "empty_current_observations", "current_observations").isEmpty() and keys.isEmpty()
+        bindings = binding_mismatches(supplied, generation.input_keys, current.select(*KEY).distinct() if held else None)
         conflicts = conflicts.unionByName(
             bindings.select(F.lit("candidate_binding_mismatch").alias("code"), F.col("kind").alias("subject"), F.col("left_source_id").alias("source_id"),
                             F.col("left_publication_id").alias("publication_id"), F.col("left_at").alias("observed_at"), F.array("left_at", "right_at").alias("keys"))

@@ -120,9 +120,8 @@ def configuration_conflicts(policy: str, limit: Any) -> list[tuple[str, str]]:
 
 #: Conflict codes in their order.
 CONFLICT_CODES = (
-    "observations_not_tuple", "empty_generation_input", "observation_not_available", "unsupported_observation", "observation_key_content_conflict",
-    "duplicate_publication_ref", "unsupported_candidate_policy", "invalid_bucket_pair_limit", "candidate_identity_content_conflict",
-    "generation_identity_content_conflict",
+    "empty_generation_input", "observation_not_available", "observation_key_content_conflict", "duplicate_publication_ref",
+    "unsupported_candidate_policy", "invalid_bucket_pair_limit",
 )
 _SHAPE = "code string, subject string, source_id string, publication_id string, observed_at timestamp, keys array<timestamp>"
 
@@ -184,3 +183,13 @@ def ordered_conflicts(conflicts: DataFrame, codes: tuple[str, ...] = CONFLICT_CO
     """By the code's place, then the subject."""
     place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("code"))
     return conflicts.orderBy(place, *REF, "observed_at", "keys", "subject")
+
+
+def candidate_order() -> list[str]:
+    """Candidates are in order of both references, then of both moments."""
+    return list(IDENTITY)
+
+
+def non_participation_order() -> list[str]:
+    """Observations in order of their keys, each under the passes in turn."""
+    return [*KEY, "rule_pos"]

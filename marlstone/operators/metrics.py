@@ -52,6 +52,11 @@ def control_errors(cases: DataFrame, policy: str = policies.ASSESSMENT_POLICY) -
     return rows.where("n > 0").unionByName(repeated)
 
 
+def case_order() -> list[str]:
+    """Control cases are in order of their pairs."""
+    return list(PAIR)
+
+
 def quality(cases: DataFrame) -> DataFrame:
     """One row: counts, assessment coverage, precision, recall and the share of pairs to review."""
     label, done = F.col("label"), F.col("result") == "success"

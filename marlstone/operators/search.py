@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.outcomes import MISSING, PRESENT
-from marlstone.sources.tables import written
+from marlstone.operators.ordering import placed
 
 
 @dataclass(frozen=True)
@@ -59,14 +59,6 @@ def search(listings: DataFrame, criteria: Criteria) -> DataFrame:
 
 
 def ranked(listings: DataFrame, criteria: Criteria) -> DataFrame:
-    """The result with its place (``rank``, from 1): a distributed sort, then an offset per partition, never one task.
-
-    The sorted rows are written once, since sampled ranges may fall otherwise when they are computed again.
-    """
-    rows = written(search(listings, criteria).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition of the sort
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    rows = rows.join(F.broadcast(offsets), part == F.col("_part"))
-    return rows.withColumn("rank", F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_offset")
+    """The result with its place (``rank``, from 1)."""
+    wanted = matches(criteria)
+    return placed(listings if wanted is None else listings.where(wanted), *result_order())

@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from marlstone import policies
 from marlstone.functions import parsing
+from marlstone.functions.outcomes import MISSING, PRESENT, UNSUPPORTED
+from marlstone.operators import normalize
 from marlstone.operators.search import Criteria
 
-_PATH = r"\$\.listings\[[0-9]+\](?:\.[^\s.\[\]]+)+"
-_MOMENT = r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.[0-9]{6}Z"
-_AREA = r"(?:0\.(?:0[1-9]|[1-9][0-9])|[1-9][0-9]*\.[0-9]{2})"
-
-
 def _provenance(path: Column, raw: Column, field: Column, version: Column) -> Column:
     """Where a value came from; keys in alphabetical order, an absent raw value left out by the JSON writer."""
     return F.struct(
@@ -38,40 +35,44 @@ def _traced(name: str, field: str, raw: Column, value: Column) -> Column:
     return F.struct(made.alias("provenance"), value.alias("value")).alias(name)
 
 
-def documents(matches: DataFrame) -> DataFrame:
-    """A column ``match`` of the fields of each match, in the order of the rows."""
+def _match() -> Column:
     url = F.col("source_url")
     ref = F.struct(F.col("publication_id"), F.col("source_id"))
-    return matches.select(
-        F.struct(
-            _outcome("currency"), _outcome("location_text"),
-            _traced("observed_at", "observed_at", F.col("observed_at_raw"), parsing.rendered_moment(F.col("observed_at"))),
-            _outcome("price_amount"), _traced("publication_ref", "publication_id", F.col("publication_id"), ref), _outcome("rooms"),
-            _traced("source_url", "url", url["raw_value"], url["value"]),
-            _outcome("total_area", F.when(F.col("total_area.value").isNotNull(), parsing.rendered_area(F.col("total_area.value")))),
-        ).alias("match")
+    return F.struct(
+        _outcome("currency"), _outcome("location_text"),
+        _traced("observed_at", "observed_at", F.col("observed_at_raw"), parsing.rendered_moment(F.col("observed_at"))),
+        _outcome("price_amount"), _traced("publication_ref", "publication_id", F.col("publication_id"), ref), _outcome("rooms"),
+        _traced("source_url", "url", url["raw_value"], url["value"]),
+        _outcome("total_area", F.when(F.col("total_area.value").isNotNull(), parsing.rendered_area(F.col("total_area.value")))),
     )
 
 
+def documents(matches: DataFrame) -> DataFrame:
+    """A column ``match`` of the fields of each match, in the order of the rows."""
+    return matches.select(_match().alias("match"))
+
+
 def breaks_contract() -> Column:
-    """Does a ``match`` break the output's patterns or ranges?"""
-    m = F.col("match")
+    """Would a match, rendered, not say what it is? Its texts must read back as its values, its paths name its own fields."""
+    same = lambda parser, text, value: parser(text)["value"].eqNullSafe(value)
     fits = [
-        parsing.full_match(m["publication_ref"]["value"]["publication_id"], parsing.PUBLICATION_ID),
-        parsing.full_match(m["publication_ref"]["value"]["source_id"], parsing.SOURCE_ID),
-        parsing.full_match(m["observed_at"]["value"], _MOMENT),
+        parsing.full_match(F.col("publication_id"), parsing.PUBLICATION_ID),
+        parsing.full_match(F.col("source_id"), parsing.SOURCE_ID),
+        F.col("observed_at").isNotNull() & same(parsing.moment, parsing.rendered_moment(F.col("observed_at")), F.col("observed_at")),
     ]
     for name in ("currency", "location_text", "price_amount", "rooms", "total_area"):
-        c = m[name]
-        p = c["provenance"]
-        fits += [parsing.full_match(p["input_path"], _PATH), parsing.opaque_code(p["normalization_rule_version"]), c["state"].isin("present", "missing", "unsupported")]
-        fits += [(c["state"] == "missing") == p["raw_value"].isNull(), (c["state"] == "present") == c["value"].isNotNull(), (c["state"] == "unsupported") == c["reason_code"].isNotNull()]
-    there = lambda c, good: c["value"].isNull() | good
+        c = F.col(name)
+        own = F.concat(normalize.path(), F.lit("."), c["source_field"])
+        fits += [c["input_path"] == own, F.length(c["source_field"]) > 0, parsing.opaque_code(c["rule_version"])]
+        states = {MISSING: c["raw_value"].isNull(), PRESENT: c["value"].isNotNull(), UNSUPPORTED: c["reason_code"].isNotNull()}
+        fits += [c["state"].isin(*states), *((c["state"] == state) == told for state, told in states.items())]
+    value = lambda name: F.col(name)["value"]
+    there = lambda name, good: value(name).isNull() | good
     fits += [
-        there(m["currency"], m["currency"]["value"] == policies.SUPPORTED_CURRENCY),
-        there(m["price_amount"], m["price_amount"]["value"] >= 1),
-        there(m["rooms"], m["rooms"]["value"].between(0, 99)),
-        there(m["total_area"], parsing.full_match(m["total_area"]["value"], _AREA)),
+        there("currency", value("currency") == policies.SUPPORTED_CURRENCY),
+        there("price_amount", value("price_amount") >= 1),
+        there("rooms", value("rooms").between(0, 99)),
+        there("total_area", same(parsing.area, parsing.rendered_area(value("total_area")), value("total_area"))),
     ]
     bad = F.lit(False)
     for x in fits:
@@ -100,7 +101,7 @@ def canonical_bytes(matches: DataFrame, criteria: Criteria) -> bytes | None:
 
     The document is one value by its contract, so its rows come to the driver, streamed partition by partition.
     """
-    rows = documents(matches).select(F.to_json("match").alias("text"), breaks_contract().alias("bad"))
+    rows = matches.select(F.to_json(_match()).alias("text"), breaks_contract().alias("bad"))
     out = []
     for r in rows.toLocalIterator():
         if r.bad:

@@ -12,10 +12,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows through a table under ``spark.checkpoint.dir``: evaluated once, and safe from lost executors."""
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where none is named, it is the context's checkpoint folder. Without either, a local session gets a folder of its own; on a
+    cluster that would be another folder on each machine, so there the setting must be made.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base and not (named := context._jsc.sc().getCheckpointDir()).isEmpty():
+        base = named.get()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/marlstone-tables"
+    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows through Parquet in the shared folder: evaluated once, lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/marlstone-tables"
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
