@@ -7,26 +7,24 @@ import ctypes
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.tables import shared_dir, table, written
+
+__all__ = ["ascii_lower", "chunks", "free", "settle", "shared_dir", "ship", "table", "written"]
+
 #: Text handled at once inside a Python worker; bounds the worker's memory whatever the row sizes are.
 CHUNK_BYTES = 1 << 20
 
 _shipped: set[str] = set()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder; any path that Spark's readers open will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once an application, so that workers need no common folder."""
     app = spark.sparkContext.applicationId
@@ -41,30 +39,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where none is named, as in tests, the context's checkpoint folder is used, or a local one set for it.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        named = context._jsc.sc().getCheckpointDir()
-        if named.isEmpty():
-            context.setCheckpointDir(f"file://{tempfile.gettempdir()}/marlstone-checkpoints")
-            named = context._jsc.sc().getCheckpointDir()
-        base = named.get()
-    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows through Parquet in the shared folder: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free(name: str, taken) -> str:
     """The name, longer by underscores until no column has it."""
     while name in taken:
