@@ -1,9 +1,15 @@
 """A versioned store on plain Parquet: compare-and-commit of several tables at once, idempotent replay, exact lookups.
 
 A commit writes its tables under ``data/`` and then publishes one manifest ``_commits/<number>.json`` by exclusive
-creation. Readers see manifested files only, so a commit is there whole or not at all. The number is the revision of
-everything in the commit: it only grows, and comes from no clock or hash. If another writer publishes the number first,
-the decision is made again on what is there then. Nothing committed is ever rewritten; heads and chains are views.
+creation. Readers see manifested files only, so a commit is there whole or not at all; what is committed together (a batch
+and its generation) is named by one manifest. The number is the revision of everything in the commit: it only grows, and
+comes from no clock or hash. If another writer publishes the number first, the decision is made again on what is there then,
+and what was written in vain is removed. Nothing committed is ever rewritten, so manifests are read once; a table over any
+number of commits is one scan, and heads and chains are views.
+
+A file system that fails before anything is published makes the store ``temporarily_unavailable``, one that fails while the
+manifest is published leaves ``outcome_unknown`` (the same commit again tells), and a manifest that can't be read is an
+``integrity_violation``.
 
 Every commit is decided in the same order: a replay (equal identity and content) succeeds whatever revision is expected;
 equal identity with other content is a conflict; then expected revisions; then writing.
@@ -11,6 +17,7 @@ equal identity with other content is a conflict; then expected revisions; then w
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import uuid
@@ -18,6 +25,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,42 +89,60 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(f"{self.root}/_commits"))
         self._local = str(self._fs.getUri()).startswith("file:")
+        self._read: dict[str, list[Commit]] = {}
 
     # Manifests
 
     def commits(self, kind: str | None = None) -> list[Commit]:
         """What is published, in order. Manifests are small and one per batch; their rows stay in Parquet."""
-        out = []
-        for s in self._fs.listStatus(self._path(f"{self.root}/_commits")):
-            name = s.getPath().getName()
-            if name.endswith(".json"):
-                stream = self._fs.open(s.getPath())
-                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                c = Commit(**json.loads(text))
-                if kind in (None, c.kind):
-                    out.append(c)
-        return sorted(out, key=lambda c: c.number)
+        try:
+            names = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/_commits"))]
+            for name in sorted(n for n in names if n.endswith(".json") and n not in self._read):
+                stream = self._fs.open(self._path(f"{self.root}/_commits/{name}"))
+                try:
+                    text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                finally:
+                    stream.close()
+                self._read[name] = self._named(text)
+        except (Py4JError, OSError) as e:
+            raise StoreFailure("temporarily_unavailable", "commits") from e
+        found = [c for own in self._read.values() for c in own if kind in (None, c.kind)]
+        return sorted(found, key=lambda c: c.number)
+
+    def _named(self, text: str) -> list[Commit]:
+        """What a manifest names: its own commit, and what was committed with it."""
+        try:
+            own = Commit(**json.loads(text))
+        except (ValueError, TypeError) as e:
+            raise StoreFailure("integrity_violation", "commits") from e
+        prefix = lambda kind: f"{kind}_"
+        more = [Commit(own.number, x["kind"], x["identity"], {k.removeprefix(prefix(x["kind"])): v for k, v in own.tables.items() if k.startswith(prefix(x["kind"]))}) for x in own.meta.get("with", ())]
+        return [own, *more]
 
     def _publish(self, commit: Commit) -> bool:
         """Create the manifest, unless its number is taken."""
         text = json.dumps(commit.__dict__, sort_keys=True)
         target = f"{self.root}/_commits/{commit.number:012d}.json"
         draft = self._path(f"{self.root}/_commits/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        try:
+            stream = self._fs.create(draft, False)
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        except (Py4JError, OSError) as e:
+            raise StoreFailure("temporarily_unavailable", commit.kind) from e
         try:
             if self._local:  # a hard link fails where the name is taken; a local rename would replace it
-                plain = lambda p: self._path(p).toUri().getPath()
                 try:
-                    os.link(draft.toUri().getPath(), plain(target))
+                    os.link(draft.toUri().getPath(), self._path(target).toUri().getPath())
                     return True
                 except FileExistsError:
                     return False
             return bool(self._fs.rename(draft, self._path(target)))
+        except (Py4JError, OSError) as e:
+            raise StoreFailure("outcome_unknown", commit.kind) from e
         finally:
-            self._fs.delete(draft, False)
+            with contextlib.suppress(Py4JError, OSError):
+                self._fs.delete(draft, False)
 
     def _write(self, decide: Callable[[], Outcome | None], kind: str, identity: dict, tables: Callable[[], dict[str, DataFrame]], meta: dict | None = None) -> Outcome:
         """Decide, write and publish; again from the start if another commit came between."""
@@ -131,15 +157,22 @@ class Store:
             number = (seen[-1].number if seen else 0) + 1
             if self._publish(Commit(number, kind, identity, paths, meta or {})):
                 return Outcome(COMMITTED, number)
+            for path in paths.values():
+                self._fs.delete(self._path(f"{self.root}/{path.rpartition('/')[0]}"), True)
 
     def _table(self, commits: list[Commit], name: str) -> DataFrame | None:
-        """One table over commits, with the ``revision`` of each row's commit."""
-        out: DataFrame | None = None
-        for c in commits:
-            if name in c.tables:
-                part = self.spark.read.parquet(f"{self.root}/{c.tables[name]}").withColumn("revision", F.lit(c.number).cast("bigint"))
-                out = part if out is None else out.unionByName(part)
-        return out
+        """One table over commits, with the ``revision`` of each row's commit: one scan, whatever their number."""
+        own = {c.tables[name].split("/")[1]: c for c in commits if name in c.tables}
+        if not own:
+            return None
+        paths = [f"{self.root}/{c.tables[name]}" for c in own.values()]
+        first = self.spark.read.parquet(paths[0])
+        if len(own) == 1:
+            return first.withColumn("revision", F.lit(next(iter(own.values())).number).cast("bigint"))
+        numbers = self.spark.createDataFrame([(k, c.number) for k, c in own.items()], "_folder string, revision bigint")
+        folder = F.element_at(F.split("_metadata.file_path", "/"), -3)
+        rows = self.spark.read.schema(first.schema).parquet(*paths).select("*", folder.alias("_folder"))
+        return rows.join(F.broadcast(numbers), "_folder").drop("_folder")
 
     def _conflicts(self, category: str, found: list[tuple[str, Any]]) -> Outcome:
         rows = [(category, code, subject if isinstance(subject, str) else json.dumps(subject, default=str, sort_keys=True)) for code, subject in found]
@@ -156,12 +189,19 @@ class Store:
         touched = self._table(self.commits("histories"), "touched")
         return None if touched is None else touched.groupBy(*REF).agg(F.max("revision").alias("revision"))
 
-    def observations(self) -> DataFrame | None:
-        return self._table(self.commits("histories"), "observations")
+    def observations(self, references: DataFrame | None = None) -> DataFrame | None:
+        """Committed observations; of given publications, those of the commits that touched them are all that is read."""
+        commits = self.commits("histories")
+        if references is None or len(commits) < 2:
+            return self._table(commits, "observations")
+        touched = self._table(commits, "touched").join(references.select(*REF).distinct(), list(REF), "left_semi")
+        numbers = {r.revision for r in touched.select("revision").distinct().toLocalIterator()}
+        rows = self._table([c for c in commits if c.number in numbers] or commits[:1], "observations")
+        return rows.join(references.select(*REF).distinct(), list(REF), "left_semi")
 
     def load_histories(self, references: DataFrame) -> DataFrame:
         """Requested publications with their head revision (null: none) and, a row each, their observations."""
-        heads, rows = self.heads(), self.observations()
+        heads, rows = self.heads(), self.observations(references)
         if heads is None or rows is None:
             return references.select(*REF).distinct().withColumn("revision", F.lit(None).cast("bigint"))
         wanted = references.select(*REF).distinct()
@@ -169,8 +209,8 @@ class Store:
 
     def load_observations(self, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
         """All requested observations, or none and the keys that are missing."""
-        rows = self.observations()
         wanted = keys.select(*KEY).distinct()
+        rows = self.observations(wanted)
         if rows is None:
             return None, wanted
         missing = wanted.join(rows, list(KEY), "left_anti")
@@ -210,7 +250,7 @@ class Store:
 
     def _lineage(self, offered: DataFrame, outcomes: DataFrame, prepared: history.Append, touched: DataFrame, policy: str, made: Callable) -> Outcome | None:
         """Derive the append again from what is committed: it must come to the prepared one."""
-        committed = self.observations()
+        committed = self.observations(touched)
         known = offered.limit(0) if committed is None else committed.drop("revision").select(*KEY, *CONTENT).join(touched.select(*REF), list(REF), "left_semi")
         latest = known.groupBy(*REF).agg(F.max("observed_at").alias("latest"))
         old = known.select(*KEY, F.struct(*CONTENT).alias("old"))
@@ -279,24 +319,28 @@ class Store:
         c = self._one("batch", {"generation": self._generation_identity(generation), "policy": policy})
         return None if c is None else (self._table([c], "items").drop("revision"), c.number)
 
-    def load_assessment(self, identity: dict) -> Row | None:
-        """One assessment by its whole identity."""
+    def _assessment(self, identity: dict) -> DataFrame | None:
         rows = self.assessments()
         if rows is None:
             return None
         for k in (*IDENTITY, "assessment_policy"):
             rows = rows.where(F.col(k) == F.lit(identity[k]))
-        return rows.drop("revision").first()
+        return rows.drop("revision").limit(1)
+
+    def load_assessment(self, identity: dict) -> Row | None:
+        """One assessment by its whole identity."""
+        rows = self._assessment(identity)
+        return None if rows is None else rows.first()
 
     def commit_batch(self, generation: blocking.Generation, items: DataFrame, expected_generation: int | None = None, expected_batch: int | None = None, policy: str = policies.ASSESSMENT_POLICY) -> Outcome:
-        """Commit a generation, if it isn't there, and the assessments of its candidates, with one manifest each and the batch last.
+        """Commit a generation, if it isn't there, and the assessments of its candidates, by one manifest.
 
         ``items``: the identity columns, assessment_policy, evidence, non_comparisons and outcome.
         """
         key = [*IDENTITY, "assessment_policy"]
         items = items.select(*key, "evidence", "non_comparisons", "outcome").cache()
         batch_identity = {"generation": self._generation_identity(generation), "policy": policy}
-        revisions: dict[str, int] = {}
+        meta: dict[str, Any] = {}
 
         def decide() -> Outcome | None:
             identity, old_generation, same = self._generation(generation)
@@ -320,23 +364,13 @@ class Store:
             found = [("expected_revision_mismatch", {"slot": k, "expected": wanted[k], "actual": actual[k]}) for k in actual if actual[k] != wanted[k]]
             if found:
                 return self._conflicts(ASSESSMENT, found)
-            if old_generation is not None:
-                revisions["generation"] = old_generation.number
+            meta["with"] = [] if old_generation is not None else [{"kind": "generation", "identity": identity}]
             return None
 
         def tables() -> dict[str, DataFrame]:
-            return {"items": items} | ({} if "generation" in revisions else {f"generation_{k}": v for k, v in self._generation_tables(generation).items()})
-
-        done = self._write(decide, "batch", batch_identity, tables)
-        if done.disposition == COMMITTED and "generation" not in revisions:
-            # The batch's manifest holds the generation's tables too; this one names them under the generation's identity.
-            own = next(c for c in self.commits("batch") if c.number == done.revision)
-            paths = {k.removeprefix("generation_"): v for k, v in own.tables.items() if k.startswith("generation_")}
-            number = done.revision
-            while self._one("generation", batch_identity["generation"]) is None:
-                number += 1
-                self._publish(Commit(number, "generation", batch_identity["generation"], paths, {"with": done.revision}))
-        return done
+            return {"items": items} | ({f"generation_{k}": v for k, v in self._generation_tables(generation).items()} if meta["with"] else {})
+
+        return self._write(decide, "batch", batch_identity, tables, meta)
 
     # Supersessions, reviews, audits
 
@@ -363,16 +397,19 @@ class Store:
         rows = self._table(own, "review")
         return (None, None) if rows is None else (rows.withColumnRenamed("revision", "committed").withColumnRenamed("review_revision", "revision").orderBy("revision"), own[-1].number)
 
-    def commit_review(self, made: DataFrame, expected: int | None = None) -> Outcome:
-        """Commit one review (a row as ``review.create`` takes it)."""
+    def commit_review(self, made: DataFrame, expected: int | None = None, bound: DataFrame | None = None) -> Outcome:
+        """Commit one review (a row as ``review.create`` takes it).
+
+        ``bound``: the assessment as the reviewer had it (a row as ``commit_batch`` takes it); it must be the stored one, content and all.
+        """
         row = made.first()
         identity = {"code": row.code, "revision": row.revision}
         supersedes = None if row.supersedes_code is None else {"code": row.supersedes_code, "revision": row.supersedes_revision}
         stored = made.withColumnRenamed("revision", "review_revision")
 
         def decide() -> Outcome | None:
-            bound = self.load_assessment({k: row[k] for k in review.ASSESSMENT})
-            if bound is None:
+            known = self._assessment({k: row[k] for k in review.ASSESSMENT})
+            if known is None or known.isEmpty() or (bound is not None and not equal_rows(known, bound.select(known.columns))):
                 return self._conflicts(REVIEW, [("review_assessment_mismatch", identity)])
             if (old := self._one("review", identity)) is not None:
                 if equal_rows(self._table([old], "review").drop("revision"), stored):

@@ -39,7 +39,7 @@ def append_batch(store: Store, code: str, batch: DataFrame, fields: tuple[str, .
         for _ in range(TRIES):
             if (done := store._one("histories", {"code": code, "policy": policies.CHANGE_POLICY})) is not None:
                 return Outcome("REPLAYED", done.number)
-            committed, heads = store.observations(), store.heads()
+            committed, heads = store.observations(touched), store.heads()
             known = rows.limit(0) if committed is None else committed.select(*KEY, *CONTENT).join(touched, list(REF), "left_semi")
             prepared = history.append(known, rows, fields=fields)
             if not prepared.ok():

@@ -1,9 +1,12 @@
+import shutil
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import assessment, blocking, history, review
 from marlstone.operators.history import REF
-from marlstone.sources.store import Store
+from marlstone.sources.store import Commit, Store, StoreFailure
 from marlstone.streaming import observations as stream
 from tests.engine.builders import at, listing, observations
 from tests.engine.test_duplicates import DRAFT, draft
@@ -152,3 +155,95 @@ def test_stream_commits_each_batch_whole_and_once(spark, store, tmp_path):
     run()
     assert store.observations().count() == 4 and [c for _, c in rejected] == [["timestamp_content_conflict"]]
     assert stream.append_batch(store, "observations-0", rows).disposition == "REPLAYED"
+
+
+def test_a_batch_and_its_generation_are_there_together_or_not_at_all(spark, store, batch, monkeypatch):
+    g, items, _ = batch
+    for stop in ("before", "after"):
+        real = Store._publish
+
+        def crash(self, commit, real=real, stop=stop):
+            if stop == "after":
+                real(self, commit)
+            raise StoreFailure("outcome_unknown", commit.kind)
+
+        monkeypatch.setattr(Store, "_publish", crash)
+        with pytest.raises(StoreFailure):
+            store.commit_batch(g, items)
+        monkeypatch.setattr(Store, "_publish", real)
+        there = stop == "after"
+        assert (store.load_batch(g) is not None, store.load_generation(g.input_keys, 10) is not None) == (there, there)
+    # The same commit again tells what has become of it, and nothing is there twice.
+    assert store.commit_batch(g, items).disposition == "REPLAYED" and store.commit_generation(g).disposition == "REPLAYED"
+    assert [c.kind for c in store.commits()] == ["batch", "generation"] and store.load_generation(g.input_keys, 10)[1] == store.load_batch(g)[1] == 1
+
+
+def test_a_review_binds_the_assessment_as_it_is_stored(spark, store, batch):
+    g, items, _ = batch
+    store.commit_batch(g, items)
+    own = items.where("left_publication_id = 'a' and right_publication_id = 'b'").select(*review.ASSESSMENT, "evidence", "non_comparisons", "outcome")
+    row = spark.createDataFrame([draft()], DRAFT)
+    assert codes(store.commit_review(row, bound=own.withColumn("outcome", F.lit("other")))) == ["review_assessment_mismatch"]
+    assert codes(store.commit_review(row, bound=own.limit(0))) == ["review_assessment_mismatch"]
+    assert store.commit_review(row, bound=own).ok()
+
+
+def test_failures_of_the_file_system_and_of_manifests(spark, store, batch, tmp_path):
+    g, _, _ = batch
+    store.commit_generation(g)
+    other = Store(spark, store.root)
+    (tmp_path / "store" / "_commits" / "000000000002.json").write_text("{")
+    for s in (store, other):
+        with pytest.raises(StoreFailure) as e:
+            s.commits()
+        assert e.value.code == "integrity_violation"
+    (tmp_path / "store" / "_commits").rename(tmp_path / "away")
+    with pytest.raises(StoreFailure) as e:
+        store.commits()
+    assert e.value.code == "temporarily_unavailable"
+
+
+def test_thousands_of_commits_are_one_scan(spark, store, tmp_path):
+    rows = observations(spark, listing("a", 1), listing("b", 1))
+    done = store.commit_histories("c0", rows, history.append(rows.limit(0), rows), expect(rows, ("a", None), ("b", None)))
+    first = store.commits()[0]
+    for n in range(2, 2001):  # copies of a small table: what is measured is the planning
+        shutil.copytree(tmp_path / "store" / first.tables["touched"], tmp_path / "store" / "data" / f"n{n}" / "touched")
+        store._publish(Commit(n, "histories", {"code": f"c{n}", "policy": first.identity["policy"]}, {"touched": f"data/n{n}/touched"}))
+    began = time.time()
+    again = Store(spark, store.root)
+    assert len(again.commits()) == 2000 and done.revision == 1
+    took = time.time() - began
+    began = time.time()
+    assert again.observations().count() == 2 and {r.revision for r in again.heads().collect()} == {2000}
+    assert len(again.commits()) == 2000 and time.time() - began < 60 and took < 60
+    plan = again.heads()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_only_commits_that_touched_a_publication_are_read(spark, store):
+    known = None
+    for day, name in enumerate("abc", 1):
+        rows = observations(spark, listing(name, day))
+        known = rows if known is None else known.unionByName(rows)
+        store.commit_histories(f"c{day}", rows, history.append(rows.limit(0), rows), expect(rows, (name, None)))
+    own = store.observations(expect(known, ("b", None)))
+    assert [(r.publication_id, r.revision) for r in own.collect()] == [("b", 2)]
+    assert len(own.inputFiles()) < len(store.observations().inputFiles())
+    assert store.observations(expect(known, ("z", None))).count() == 0
+
+
+def test_what_a_losing_writer_wrote_is_removed(spark, store, batch, tmp_path, monkeypatch):
+    g, _, _ = batch
+    real, lost = Store._publish, []
+
+    def late(self, commit):
+        if not lost:
+            lost.append(commit)
+            return False
+        return real(self, commit)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    assert store.commit_generation(g).ok()
+    kept = {p.split("/")[1] for p in store.commits()[0].tables.values()}
+    assert {p.name for p in (tmp_path / "store" / "data").iterdir()} == kept
