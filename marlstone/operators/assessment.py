@@ -83,10 +83,12 @@ def automatic_outcome(found: Column) -> Column:
 def assessed(pairs: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
     """Pairs with both listings as structs, with evidence, non_comparisons and outcome."""
     found = pairs.withColumn("_found", findings(F.col(left), F.col(right)))
+    # The outcome rests on the verdicts alone: where only it is asked for, no snapshot is made.
+    bare = [F.struct(F.lit(r.rule_id).alias("rule_id"), v["polarity"].alias("polarity"), v["strength"].alias("strength")) for r, v in zip(policies.EVIDENCE_RULES, verdicts(F.col(left), F.col(right)), strict=True)]
     return (
         found.withColumn("evidence", F.filter("_found", lambda f: f["kind"] == "EVIDENCE"))
         .withColumn("non_comparisons", F.filter("_found", lambda f: f["kind"] == "NON_COMPARISON"))
-        .withColumn("outcome", automatic_outcome(F.col("_found")))
+        .withColumn("outcome", automatic_outcome(F.array(*bare)))
         .withColumn("assessment_policy", F.lit(policies.ASSESSMENT_POLICY))
         .drop("_found")
     )

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone import policies
 from marlstone.functions import parsing
 from marlstone.functions.outcomes import outcome
 from marlstone.operators import assessment, blocking, history, metrics, normalize, review, search
-from marlstone.sources.tables import table
+from marlstone.operators.ordering import placed
+from marlstone.sources.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,6 +181,28 @@ def collection_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.repeated_references(rows)
 
 
+@query("""with raw as (select cast(p_partkey as int) record_index, 'brand_' || replace(p_brand, 'Brand#', '') source_id, cast(p_partkey % 1000 as varchar) publication_id from part)
+  select record_index, 'COLLECTION_CONFLICT' category, 'duplicate_publication_ref' code, '$.listings[' || record_index || ']' json_path
+  from (select *, row_number() over (partition by source_id, publication_id order by record_index) n from raw) where n > 1""")
+def collection_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection in which publications come again: nothing else is wrong with the records."""
+    raw = raw_parts(spark, sf_dir).withColumn("publication_id", F.pmod("record_index", F.lit(1000)).cast("string"))
+    return normalize.collection(raw).conflicts.select("record_index", "category", "code", "json_path")
+
+
+@query(f"with {_LST} select publication_id, (area // 100) || '.' || lpad(cast(area % 100 as varchar), 2, '0') area_text from lst")
+def rendered_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).select("publication_id", parsing.rendered_area(F.col("total_area.value")).alias("area_text"))
+
+
+@query("""select cast(p_partkey as varchar) publication_id, p_partkey % 5 not in (0, 1, 2) fits from part""")
+def source_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources' own URLs, of which some name another publication, have a query or a part too many."""
+    k, own = F.pmod("record_index", F.lit(5)), F.col("url")
+    url = F.when(k == 0, F.concat(own, F.lit("0"))).when(k == 1, F.concat(own, F.lit("?a=1"))).when(k == 2, F.concat(own, F.lit("/x"))).otherwise(own)
+    return raw_parts(spark, sf_dir).select("publication_id", parsing.source_url(url, F.col("publication_id")).alias("fits"))
+
+
 def _search(name: str, criteria: search.Criteria, where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return search.ranked(parts(spark, sf_dir), criteria).select("rank", "source_id", "publication_id", F.col("price_amount.value").alias("price"))
@@ -242,6 +266,23 @@ def availability_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _event_changes(spark, sf_dir).where("transition is not null").select("publication_id", "from_at", "to_at", "transition")
 
 
+@query(f"""with {_OBS} select 'duplicate_publication_ref' code, publication_id, null::timestamp observed_at, cast(count(*) as int) repeats from obs where av group by publication_id having count(*) > 1
+  union all select distinct 'observation_not_available', publication_id, ts, null::int from obs where not av""")
+def input_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as if they were current observations: what keeps them from being that."""
+    found = blocking.input_conflicts(event_observations(spark, sf_dir))
+    return found.select("code", "publication_id", "observed_at", F.when(F.col("keys").isNotNull(), F.size("keys")).alias("repeats"))
+
+
+@query("""with steps as (select event_id, user_id, ts, lag(ts) over (partition by user_id order by md5(cast(event_id as varchar)), event_id) previous_at from events)
+  select cast(user_id as varchar) publication_id, ts observed_at, previous_at from steps where previous_at >= ts""")
+def out_of_order_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in another order than they happened."""
+    ordinal = F.struct(F.md5(F.col("event_id").cast("string").cast("binary")).alias("h"), "event_id").alias("ordinal")
+    rows = table(spark, sf_dir, "events").select(F.lit("events").alias("source_id"), F.col("user_id").cast("string").alias("publication_id"), F.col("ts").alias("observed_at"), ordinal)
+    return history.out_of_order(rows).select("publication_id", "observed_at", "previous_at")
+
+
 _DELTAS = """
 deltas as (
   select publication_id, ts to_at, unnest([case when p_type <> event_type then 'location_text' end, case when p_price <> price then 'price_amount' end,
@@ -387,6 +428,19 @@ def blocking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*blocking.IDENTITY[:4], F.size("matches").alias("routes"), F.col("matches")[0]["rule_pos"].alias("first_route"))
 
 
+@query(f"""with {_MEM} select left_source_id, left_publication_id, right_source_id, right_publication_id,
+  row_number() over (order by left_source_id, left_publication_id, right_source_id, right_publication_id, left_at, right_at) rank from cand""")
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(_generation(spark, sf_dir).rows.select(*blocking.IDENTITY), *blocking.candidate_order()).select(*blocking.IDENTITY[:4], "rank")
+
+
+@query(f"""with {_LST}, away as (select source_id, publication_id, seen, 0 rule_pos from lst where area is null or rooms is null union all select source_id, publication_id, seen, 1 from lst where area is null)
+  select source_id, publication_id, rule_pos, row_number() over (order by source_id, publication_id, seen, rule_pos) rank from away""")
+def non_participation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _generation(spark, sf_dir).non_participations
+    return placed(rows, *blocking.non_participation_order()).select("source_id", "publication_id", "rule_pos", "rank")
+
+
 _DOC = """
 doc as (select doc_id, lang, n_chars, md5(text) h from documents where text is not null),
 small as (select lang, n_chars, count(*) members from doc group by all having count(*) > 1 and count(*) * (count(*) - 1) // 2 <= 15)"""
@@ -448,6 +502,15 @@ def assessment_current_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.is_current(_assessed(spark, sf_dir), now).select("left_publication_id", "right_publication_id", "is_current")
 
 
+@query(f"""with {_FOUND} select left_publication_id, right_publication_id, 'tampered with' stored, outcome expected from outcomes where cast(left_publication_id as bigint) % 3 = 0""")
+def tampered_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored assessments, of which every third outcome was changed, against those that follow from the observations."""
+    rows = written(part_observations(spark, sf_dir))
+    done = assessment.assess_batch(blocking.generate(rows, LIMIT), rows).rows.select(*review.ASSESSMENT, "evidence", "non_comparisons", "outcome")
+    stored = done.withColumn("outcome", F.when(F.col("left_publication_id").cast("long") % 3 == 0, "tampered with").otherwise(F.col("outcome")))
+    return assessment.tampered(stored, rows).select("left_publication_id", "right_publication_id", "stored", "expected")
+
+
 # Labelled pairs: all candidates, and neighbours by key that blocking may have missed.
 
 _CASES = f"""{_FOUND},
@@ -470,9 +533,8 @@ counts as (
   from cases)"""
 
 
-def control_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts some keys apart as labelled pairs; every 23rd wasn't assessed, every fifth label rejects."""
-    rows = part_observations(spark, sf_dir)
+def control_cases(rows: DataFrame) -> DataFrame:
+    """Parts some keys apart as labelled pairs; every 23rd wasn't assessed, every fifth label rejects. ``rows``: parts as observations."""
     side = lambda n: F.struct(*history.KEY, "is_available", "listing").alias(n)
     own = F.col("publication_id").cast("long")
     left = rows.select(own.alias("k"), (own + 7 * (1 + own % 3)).alias("other"), side("first"))
@@ -491,17 +553,35 @@ def control_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_CASES} select population, assessed, not_assessed, candidate, conflicting, insufficient, confirmed, rejected, inconclusive, review_required, review_confirmed from counts")
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.quality(control_cases(spark, sf_dir)).drop("precision", "recall", "assessment_coverage", "review_load", "review_inconclusive")
+    return metrics.quality(control_cases(written(part_observations(spark, sf_dir)))).drop("precision", "recall", "assessment_coverage", "review_load", "review_inconclusive")
 
 
 @query(f"""with {_CASES} select unnest(['assessment_coverage', 'precision', 'recall', 'review_load']) metric, unnest([assessed, review_confirmed, review_confirmed, review_required]) numerator,
   unnest([population, review_required, confirmed, population]) denominator from counts""")
 def quality_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("assessment_coverage", "precision", "recall", "review_load")
-    rows = metrics.quality(control_cases(spark, sf_dir)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("m")) for n in names])).alias("x"))
+    rows = metrics.quality(control_cases(written(part_observations(spark, sf_dir)))).select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("m")) for n in names])).alias("x"))
     return rows.select("x.metric", "x.m.numerator", "x.m.denominator")
 
 
+@query(f"""with {_CASES} select left_source_id, left_publication_id, right_source_id, right_publication_id,
+  row_number() over (order by left_source_id, left_publication_id, right_source_id, right_publication_id) rank from cases""")
+def control_case_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(control_cases(written(part_observations(spark, sf_dir))).select(*metrics.PAIR), *metrics.case_order())
+
+
+@query(f"""with {_CASES}, bad as (select cast(left_publication_id as bigint) k from cases)
+  select 'unsupported_label' code, count(*) n from bad where k % 4 = 0 having count(*) > 0 union all select 'policy_version_mismatch', count(*) from bad where k % 9 = 0 having count(*) > 0
+  union all select 'duplicate_pair', 2 * count(*) from bad where k % 6 = 0 having count(*) > 0""")
+def control_set_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control cases with odd labels, another policy's results and repeats: how many of each."""
+    rows = control_cases(written(part_observations(spark, sf_dir))).select(*metrics.PAIR, "policy_version", "result", "label")
+    k = F.col("left_publication_id").cast("long")
+    again = rows.where(k % 6 == 0).withColumns({"label": F.lit(metrics.CONFIRMED), "policy_version": F.lit(policies.ASSESSMENT_POLICY)})
+    rows = rows.withColumns({"label": F.when(k % 4 == 0, "ODD").otherwise(F.col("label")), "policy_version": F.when(k % 9 == 0, "other@1").otherwise(F.col("policy_version"))})
+    return metrics.control_errors(rows.unionByName(again)).select("code", "n")
+
+
 @query(f"""with {_CASES}, input as (select publication_id from lst where p_partkey % 13 <> 0),
   mem13 as (select * from mem where publication_id in (select publication_id from input)),
   b13 as (select rule_pos, total_area, rooms, location_text, count(*) * (count(*) - 1) // 2 pairs from mem13 group by all),
@@ -516,8 +596,9 @@ def coverage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> metrics.Coverage:
-    current = part_observations(spark, sf_dir).where(F.col("publication_id").cast("long") % 13 != 0)
-    return metrics.coverage(control_cases(spark, sf_dir), blocking.generate(current, LIMIT))
+    rows = written(part_observations(spark, sf_dir))  # parsed once: cases and generation both need them, several times over
+    current = rows.where(F.col("publication_id").cast("long") % 13 != 0)
+    return metrics.coverage(control_cases(rows), blocking.generate(current, LIMIT))
 
 
 ORACLE_SQL["coverage_counts"] = ORACLE_SQL["coverage_classes"].rpartition("select coalesce(early")[0].rstrip() + f""",
