@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from marlstone.llm import bktree, simhash
+from marlstone.llm import components as component
 from marlstone.llm.components import components
 
 DOCS = "doc_id long, text string, fp string"
@@ -144,7 +145,9 @@ def test_empty_table_nulls_and_repeated_rows(spark):
     assert got == [(-1, 7), (-1, 9), (7, 7), (7, 7), (9, 9)]
 
 
-def test_components_of_chains_stars_and_repeats(spark):
+@pytest.mark.parametrize("small", [0, 60, 200_000])
+def test_components_of_chains_stars_and_repeats(spark, monkeypatch, small):
+    monkeypatch.setattr(component, "SMALL", small)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(5, 5), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)} | {201: 200}
