@@ -7,7 +7,8 @@ takes it up in the left token, y until the one that takes it up in the right tok
 comes first, so r must be below x's end but may equal y's.
 
 Defined cases: null text is the empty text, which has no token; a special token's string in a text becomes its id;
-ties, repeated rows and null ids are encoded row by row; columns not named in ``keep`` aren't read.
+ties, repeated rows and null ids are encoded row by row; an empty table gives an empty table; a very long text is cut into
+words piece by piece; a kept column of an output's name gives way to it; columns not named in ``keep`` aren't read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ table, and only within a block a window runs. The text is shuffled once, and a l
 
 Defined cases: a null role is the speaker ``unknown``; a null text is empty; a null turn comes first; a null
 conversation is one conversation; equal turns are ordered by speaker and text, and repeated rows are said twice; a
-conversation of system turns alone has no participant and no row; control marks in texts and names are broken up;
+conversation of system turns alone has no participant and no row; an empty table gives an empty table; a very long text is
+one turn's segment; control marks in texts and names are broken up;
 columns other than the named ones aren't read.
 """
 
