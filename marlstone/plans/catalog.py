@@ -16,7 +16,8 @@ from marlstone.functions import parsing
 from marlstone.functions.outcomes import outcome
 from marlstone.operators import assessment, blocking, history, metrics, normalize, review, search
 from marlstone.operators.ordering import placed
-from marlstone.sources.tables import table, written
+from marlstone.sources.store import Store
+from marlstone.sources.tables import shared_dir, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,3 +648,46 @@ def exact_key_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(missing).drop("source_id")
 
 
+
+
+# The store.
+
+
+_KEPT = """
+one as (select o_custkey, o_orderdate seen, row_number() over (partition by o_custkey, o_orderdate order by o_orderkey) n from orders),
+kept as (select o_custkey, seen, case when seen < (select quantile_disc(o_orderdate, 0.5) from orders) then 1 else 2 end revision from one where n = 1)"""
+
+
+def _stored_orders(spark: SparkSession, sf_dir: str) -> Store:
+    """A store with orders as histories, committed in two batches: before and from the median day on."""
+    orders = table(spark, sf_dir, "orders")
+    cut = orders.agg(F.expr("percentile_disc(0.5) within group (order by unix_micros(o_orderdate :: timestamp))").alias("t"))
+    first = F.row_number().over(Window.partitionBy("o_custkey", "o_orderdate").orderBy("o_orderkey"))
+    status = F.struct(F.struct(F.lit("present").alias("state"), F.col("o_orderstatus").alias("value")).alias("location_text"))
+    rows = orders.withColumn("n", first).where("n = 1").join(F.broadcast(cut)).select(
+        F.lit("orders").alias("source_id"), F.col("o_custkey").cast("string").alias("publication_id"), F.col("o_orderdate").alias("observed_at"),
+        F.lit(True).alias("is_available"), status.alias("listing"), F.lit(None).cast("string").alias("evidence"),
+        (F.unix_micros(F.col("o_orderdate").cast("timestamp")) < F.col("t")).alias("early"),
+    )
+    rows = written(rows)
+    store, keep = Store(spark, f"{shared_dir(spark)}/store"), [*history.KEY, *history.CONTENT]
+    for code, early in (("first", True), ("second", False)):
+        batch = rows.where(F.col("early") == early).select(*keep)
+        known = rows.where(F.lit(not early) & F.col("early")).select(*keep)
+        touched, heads = batch.select(*history.REF).distinct(), store.heads()
+        expected = touched.withColumn("revision", F.lit(None).cast("bigint")) if heads is None else touched.join(heads, list(history.REF), "left")
+        store.commit_histories(code, batch, history.append(known, batch, fields=()), expected)
+    return store
+
+
+@query(f"with {_KEPT} select cast(o_custkey as varchar) publication_id, seen observed_at, cast(revision as bigint) revision from kept")
+def store_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_orders(spark, sf_dir).observations().select("publication_id", "observed_at", "revision")
+
+
+@query(f"""with {_KEPT} select cast(c_custkey as varchar) publication_id, cast(max(revision) as bigint) revision, count(seen) observations from customer left join kept on o_custkey = c_custkey group by 1""")
+def store_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers' histories as the store has them; those of customers without orders are absent."""
+    wanted = table(spark, sf_dir, "customer").select(F.lit("orders").alias("source_id"), F.col("c_custkey").cast("string").alias("publication_id"))
+    loaded = _stored_orders(spark, sf_dir).load_histories(wanted)
+    return loaded.groupBy("publication_id", "revision").agg(F.count("observed_at").alias("observations"))
