@@ -512,6 +512,35 @@ def tampered_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.tampered(stored, rows).select("left_publication_id", "right_publication_id", "stored", "expected")
 
 
+@query(f"""with {_MEM}, drafts as (select *, cast(left_publication_id as bigint) k from cand)
+  select left_publication_id, right_publication_id, case when k % 7 = 0 then 'review_assessment_mismatch' when k % 6 = 0 then 'CREATED' when k % 10 = 0 then 'review_identity_content_conflict'
+    when k % 2 = 0 then 'REPLAYED' when k % 3 = 0 then 'review_revision_mismatch' else 'CREATED' end decision from drafts""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of reviews of all candidates: new ones, later revisions, repeats, changed repeats, and such without their assessment."""
+    rows = written(part_observations(spark, sf_dir))
+    done = written(assessment.assess_batch(blocking.generate(rows, LIMIT), rows).rows.select(*review.ASSESSMENT, "evidence", "non_comparisons"))
+    k, area = F.col("left_publication_id").cast("long"), policies.EVIDENCE_RULES[0]
+    moment = lambda day: F.lit(f"2026-03-0{day} 00:00:00").cast("timestamp")
+    reference = F.struct(
+        F.lit("EVIDENCE").alias("kind"), F.lit(0).alias("ordinal"), F.lit(area.rule_id).alias("rule_id"), F.lit(area.version).alias("rule_version"), F.lit(assessment.SUPPORTS).alias("polarity")
+    )
+
+    def reviews(pairs: DataFrame, second: Column, outcome_: Column) -> DataFrame:
+        own = {c: F.col(c) for c in review.ASSESSMENT}
+        code = F.concat_ws("-", "left_source_id", "left_publication_id", "right_source_id", "right_publication_id")
+        made = {
+            "code": code, "revision": F.when(second, 2).otherwise(1), **own, "reviewed_at": F.when(second, moment(2)).otherwise(moment(1)), "reviewer": F.lit("reviewer"), "outcome": outcome_,
+            "rationale_codes": F.array(F.lit("looked_alike")), "references": F.array(reference), "supersedes_code": F.when(second, code), "supersedes_revision": F.when(second, 1),
+        }
+        return pairs.select(*[c.alias(n) for n, c in made.items()])
+
+    confirmed, rejected = F.lit(metrics.CONFIRMED), F.lit(metrics.REJECTED)
+    stored = reviews(done.where(k % 2 == 0), F.lit(False), confirmed)
+    drafts = reviews(done, k % 3 == 0, F.when((k % 10 == 0) & (k % 3 != 0), rejected).otherwise(confirmed))
+    drafts = drafts.withColumn("left_at", F.when(k % 7 == 0, F.col("left_at") + F.expr("interval 1 day")).otherwise(F.col("left_at")))
+    return review.create(drafts, done, stored).select("left_publication_id", "right_publication_id", "decision")
+
+
 # Labelled pairs: all candidates, and neighbours by key that blocking may have missed.
 
 _CASES = f"""{_FOUND},
