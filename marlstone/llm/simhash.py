@@ -192,8 +192,9 @@ def _linked(dealt: DataFrame, rows: int, search, shard: int) -> DataFrame:
     common.ship(spark)
     more = [c for c in dealt.columns if c not in ("choice", "shard")]
     large = common.written(dealt.groupBy("choice", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "large")
+    many = large.agg(F.count(F.lit(1)).alias("shards"), F.sum(F.col("n") * (F.ceil(F.col("n") / shard) - 1)).alias("again")).first()
     # Rarely more than a few shards are large; then nothing is shuffled to tell them.
-    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    large = F.broadcast(large) if many.shards <= BROADCAST_ROWS else large
     dealt = dealt.join(large, ["choice", "shard"], "left").withColumn("parts", F.ceil(F.coalesce("n", F.lit(1)) / shard).cast("int"))
     cells = (
         dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")).cast("int"))
@@ -203,7 +204,7 @@ def _linked(dealt: DataFrame, rows: int, search, shard: int) -> DataFrame:
             (F.col("own") >= F.col("with")).alias("in_tree"), (F.col("own") <= F.col("with")).alias("asks"), *more,
         )
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((rows + (many.again or 0)) / TASK_ROWS))
     return cells.repartition(parts, "choice", "shard", "part", "other").mapInArrow(search, "a long, b long")
 
 
