@@ -149,10 +149,10 @@ def append(history: DataFrame, candidates: DataFrame, policies_of: DataFrame | N
     return Append(whole, conflicts.distinct(), outcomes, sets)
 
 
-def append_one(history: DataFrame, reference: tuple[str, str], candidate: DataFrame, policies_of: DataFrame | None = None, policy: str = policies.CHANGE_POLICY) -> Append:
+def append_one(history: DataFrame, reference: tuple[str, str], candidate: DataFrame, policies_of: DataFrame | None = None, policy: str = policies.CHANGE_POLICY, fields: tuple[str, ...] = policies.CHANGE_FIELDS) -> Append:
     """Append one observation to one history; one of another publication is a conflict of its own, unless the policy differs."""
     own = (F.col("source_id") == reference[0]) & (F.col("publication_id") == reference[1])
-    done = append(history.where(own), candidate.where(own), None if policies_of is None else policies_of.where(own), policy)
+    done = append(history.where(own), candidate.where(own), None if policies_of is None else policies_of.where(own), policy, fields)
     foreign = candidate.where(~own).select(*_conflict("stream_reference_mismatch", F.lit("observation"), F.col("observed_at")))
     if policies_of is not None:
         mismatch = policies_of.where(own & (F.col("policy_version") != policy)).limit(1)

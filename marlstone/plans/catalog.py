@@ -330,6 +330,19 @@ def generation_current_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessment.key_mismatches(generation, current).select("publication_id", "generation_at", "current_at", "kind")
 
 
+@query(f"""with {_OBS}, cut as (select quantile_disc(ts, 0.5) t from events), last as (select publication_id, max(ts) observed_at from obs where publication_id in ('1', '2', '3') group by 1)
+  select publication_id, observed_at, case when publication_id <> '1' then 'stream_reference_mismatch' when observed_at < t then 'REPLAYED' else 'APPENDED' end decision from last, cut""")
+def append_one_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One publication's history until the median moment, to which its last observation and those of two others are offered."""
+    rows = event_observations(spark, sf_dir)
+    cut = table(spark, sf_dir, "events").agg(F.expr("percentile_disc(0.5) within group (order by unix_micros(ts :: timestamp))").alias("t"))
+    early = rows.join(F.broadcast(cut), F.unix_micros(F.col("observed_at").cast("timestamp")) < F.col("t")).drop("t")
+    offered = history.heads(rows.where(F.col("publication_id").isin("1", "2", "3")))
+    done = history.append_one(early, ("events", "1"), offered, fields=_EVENT_FIELDS)
+    outcomes = done.outcomes.select("publication_id", "observed_at", F.col("disposition").alias("decision"))
+    return outcomes.unionByName(done.conflicts.select("publication_id", "observed_at", F.col("code").alias("decision")))
+
+
 # Orders as observations, appended in a batch.
 
 _ORD = """
