@@ -115,6 +115,14 @@ def test_supplied_candidates_are_checked(spark):
     assert kinds(made(("a", "b", 1, 1, "x@1"), ("a", "b", 1, 1, "x@1"))) == {("a", "b", "CANDIDATE_POLICY_MISMATCH"), ("a", "b", "DUPLICATE_CANDIDATE_IDENTITY")}
     assert kinds(made(("b", "a", 1, 1, ok))) == {("b", "a", "CANDIDATE_PAIR_KEY_MISMATCH")}
     assert kinds(made(("a", "b", 1, 2, ok)), keys) == {("a", "b", "CANDIDATE_PAIR_KEY_MISMATCH"), ("a", "b", "CANDIDATE_KEY_OUTSIDE_GENERATION"), ("a", "b", "CANDIDATE_KEY_OUTSIDE_CURRENT")}
+    # A batch looks at the current keys just where they are the generation's.
+    g = blocking.generate(now, 10)
+    told = lambda df, current: {r.kind for r in assessment.assess_batch(g, current, supplied=df).binding_conflicts.collect()}
+    stale = made(("a", "b", 1, 2, ok))
+    assert told(made(("a", "b", 1, 1, ok), ("b", "c", 1, 1, ok)), now) == set()
+    assert told(stale, now) == {"CANDIDATE_PAIR_KEY_MISMATCH", "CANDIDATE_KEY_OUTSIDE_GENERATION", "CANDIDATE_KEY_OUTSIDE_CURRENT"}
+    assert told(stale, observations(spark, listing("a"), listing("b", 2), listing("c"))) == {"CANDIDATE_KEY_OUTSIDE_GENERATION"}
+    assert {r.code for r in assessment.assess_batch(g, now, supplied=stale).conflicts.collect()} == {"candidate_binding_mismatch"}
 
 
 DRAFT = (
