@@ -17,6 +17,7 @@ from marlstone.operators import blocking
 from marlstone.operators.atomic import Result
 from marlstone.operators.blocking import BLOCK, IDENTITY
 from marlstone.operators.history import REF
+from marlstone.sources.tables import written
 
 PAIR = IDENTITY[:4]
 CONFIRMED, REJECTED, INCONCLUSIVE = policies.LABELS
@@ -109,7 +110,8 @@ def coverage(cases: DataFrame, generation: blocking.Generation) -> Coverage:
         now = generation.input_keys.select(*[F.col(c).alias(f"{s}_{c}") for c in REF], F.col("observed_at").alias(f"_{s}_now"))
         rows = rows.join(now, [f"{s}_{c}" for c in REF], "left")
     rows = rows.join(generation.rows.select(*IDENTITY, F.lit(True).alias("_candidate")), list(IDENTITY), "left")
-    rows = rows.withColumn("_shared", shared_keys(F.col("left"), F.col("right")))
+    # Written, since it is needed twice: the keys that are shared, in place of the listings they come from.
+    rows = written(rows.withColumn("_shared", shared_keys(F.col("left"), F.col("right"))).select(*IDENTITY, "label", "result", "_left_now", "_right_now", "_candidate", "_shared"))
     # A case's shared keys against the buckets left out; members share the key by construction, so the key decides.
     over = generation.oversized.select(*[F.col(k).alias(f"o_{k}") for k in BLOCK])
     exploded = rows.where(F.col("_candidate").isNull() & (F.size("_shared") > 0)).select(*PAIR, F.explode("_shared").alias("k"))
