@@ -6,12 +6,14 @@ A descriptor's ``TABLES`` chunks are its keys in as many tables: descriptors tha
 agree on one of them, and many of those within ``RADIUS`` bits do. Descriptors that meet in a bucket are compared, and each
 match votes for the turn, scale and shift that carry one image onto the other. Two images with ``VOTES`` corners that agree on
 these are linked. Cropped, turned, scaled, brighter or dimmer copies keep enough corners; components of links are copy groups.
+A copy is to agree in ``AGREED`` corners and a ``SHARE`` of the smaller image's: unrelated images agree in a few by chance.
 
-The corners of a bucket come in order of their descriptors. The first ``MEET`` meet all; each further one meets the ``NEAR``
-before it, which are the likest, and the first with its very descriptor, through which a large group of copies holds
-together; so work stays in proportion. A bucket has no exact way for the rest: plain patterns fill buckets with unrelated
-images (766 million pairs of corners for 10,000 pictures drawn from embeddings), which only the votes tell apart, and
-comparing all grows with the square. The README has the recall against comparing all descriptors of all images.
+The corners of a bucket come in order of their descriptors. The first ``MEET`` meet all; each further one first meets the
+``NEAR`` before it, which are the likest, and the first with its very descriptor, through which a large group of copies
+holds together. Then the images of all larger buckets are dealt to cells, in which every two of them that aren't connected
+yet meet by all their buckets; so no pair of a bucket is left out. Plain patterns fill buckets with unrelated images, so
+this grows with the square of the images that have such corners, in time and not in what is kept: a cell holds its own
+corners and tells a forest of links only.
 
 Defined cases: null, empty and undecodable media have no corners and a class by their bytes (null is a class of its own
 row by row: nulls aren't copies of each other); repeated rows are copies; ties of ids are one image's; a null id is
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .bktree import join_labels
 from .components import components
+from .simhash import spanning
 
 BITS, TABLES, RADIUS = 128, 4, 8
 SCALES = 3
@@ -42,12 +48,18 @@ QUALITY = 0.01
 TURNS = 24
 #: Corners that must agree, and the width in pixels of a bin of shifts.
 VOTES, SHIFT = 4, 6
-#: Corners of a bucket that all meet, and those before it that each further one meets.
+#: Copies agree in more: among very many images some pairs agree in ``VOTES`` corners by chance. Corners, and their share of the image's.
+AGREED, SHARE = 6, 0.2
+#: Corners of a bucket that all meet at once, and those before it that each further one meets first.
 MEET, NEAR = 8, 3
 #: Bits of a corner's number that go with its vote; corners that agree in them count once.
 CORNER_BITS = 14
 #: Images that are described at once.
 TOGETHER = 256
+#: Large buckets that are told to all tasks at once; beyond, they are joined.
+BROADCAST_ROWS = 100_000
+#: Corners of a part of the crowded images; corners of a cell's tree, meetings and counters at once.
+PART, TREE, MEETINGS, COUNTERS = 1 << 18, 1 << 16, 1 << 20, 1 << 20
 
 _HEADER = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s")
 
@@ -225,23 +237,172 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matches(col: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Matching corners a and b: the two images, the motion (turn, scale, shift in half bins) packed in a long, the corner."""
-    apart = np.bitwise_count(col["d0"][a] ^ col["d0"][b]).astype(np.int64) + np.bitwise_count(col["d1"][a] ^ col["d1"][b])
-    ok = (apart <= RADIUS) & (col["image"][a] != col["image"][b])
-    a, b = a[ok], b[ok]
-    if not len(a):
-        return
+    ok = (_apart(col, a, b) <= RADIUS) & (col["image"][a] != col["image"][b])
+    if ok.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _motions(col, a[ok], b[ok])], names=["a", "b", "vote"])
+
+
+def _apart(col: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(col["d0"][a] ^ col["d0"][b]) + np.bitwise_count(col["d1"][a] ^ col["d1"][b])
+
+
+def _motions(col: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     swap = col["image"][a] > col["image"][b]  # a pair's votes are counted one way
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    at = {n: unpacked(col["place"], n) for n in ("y", "x", "scale", "turn")}
-    turn = (at["turn"][b] - at["turn"][a]) % TURNS
-    scale = at["scale"][b] - at["scale"][a]
+    first, second = ({n: unpacked(col["place"][k], n) for n in ("y", "x", "scale", "turn")} for k in (a, b))
+    turn = (second["turn"] - first["turn"]) % TURNS
+    scale = second["scale"] - first["scale"]
     angle, zoom = 2 * np.pi * turn / TURNS, 2.0**scale
-    x, y = at["x"][a] * zoom, at["y"][a] * zoom
-    dx = at["x"][b] - (x * np.cos(angle) - y * np.sin(angle))
-    dy = at["y"][b] - (x * np.sin(angle) + y * np.cos(angle))
+    x, y = first["x"] * zoom, first["y"] * zoom
+    dx = second["x"] - (x * np.cos(angle) - y * np.sin(angle))
+    dy = second["y"] - (x * np.sin(angle) + y * np.cos(angle))
     half = lambda d: np.floor(2 * d / SHIFT).astype(np.int64) + (1 << 18)
     motion = (((turn * 16 + scale + 8) << 20) + half(dx) << 20) + half(dy)
-    yield pa.RecordBatch.from_arrays([pa.array(col["image"][a]), pa.array(col["image"][b]), pa.array((motion << CORNER_BITS) + (col["corner"][a] & ((1 << CORNER_BITS) - 1)))], names=["a", "b", "vote"])
+    return col["image"][a], col["image"][b], (motion << CORNER_BITS) + (col["corner"][a] & ((1 << CORNER_BITS) - 1))
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    return np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+
+
+def _voted(a: np.ndarray, b: np.ndarray, vote: np.ndarray, votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs whose matches agree and in how many corners, from all matches of a pair, in order of a, b and vote.
+
+    A match is in four bins, of grids half a bin apart, so that near shifts share one; a bin's corners count once.
+    """
+    if not len(a):
+        return a, b, vote
+    new = _new(a, b, vote >> 40 + CORNER_BITS)
+    many = np.diff(np.append(np.flatnonzero(new), len(a)))
+    ok = np.repeat(many >= votes, many)
+    a, b, vote, group = a[ok], b[ok], vote[ok], (np.cumsum(new) - 1)[ok]
+    low = (1 << 20) - 1
+    x, y, corner = vote >> 20 + CORNER_BITS & low, vote >> CORNER_BITS & low, vote & (1 << CORNER_BITS) - 1
+    hits, many = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k in range(4) if len(a) else ():
+        own = ((x + (k & 1) >> 1 << 20) + (y + (k >> 1) >> 1) << CORNER_BITS) + corner
+        order = np.lexsort((own, group))
+        order = order[_new(group[order], own[order])]
+        begin = np.flatnonzero(_new(group[order], own[order] >> CORNER_BITS))
+        n = np.diff(np.append(begin, len(order)))
+        hits.append(order[begin[n >= votes]])
+        many.append(n[n >= votes])
+    hits, many = np.concatenate(hits), np.concatenate(many)
+    a, b = a[hits], b[hits]
+    order = np.lexsort((-many, b, a))
+    order = order[_new(a[order], b[order])[: len(order)]]
+    return a[order], b[order], many[order]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], votes: int) -> Iterator[pa.RecordBatch]:
+    """Linked pairs of matches that come in order of a, b and vote; the last pair of a batch waits for the next."""
+    held = [np.zeros(0, dtype=np.int64)] * 3
+    for batch in batches:
+        col = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, batch.columns, strict=True)]
+        last = np.flatnonzero(_new(*col[:2])[: len(col[0])])[-1] if len(col[0]) else 0
+        yield _told(*_voted(*(c[:last] for c in col), votes))
+        held = [c[last:] for c in col]
+    yield _told(*_voted(*held, votes))
+
+
+def _told(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
+
+
+def _cuts(sizes: np.ndarray, most: int) -> list[int]:
+    """Edges of runs of neighbours whose sizes add up to ``most``, or of one that is larger."""
+    ends, edges = np.cumsum(sizes), [0]
+    while edges[-1] < len(sizes):
+        done = ends[edges[-1] - 1] if edges[-1] else 0
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(ends, done + most, side="right"))))
+    return edges
+
+
+def _cell(col: dict[str, np.ndarray], tree: np.ndarray, asks: np.ndarray, within: bool, votes: int, share: float = 0.0) -> Iterator[tuple[np.ndarray, ...]]:
+    """A spanning forest of the linked images of a cell that have different labels: every corner that asks meets all of the tree's
+    that share a bucket with it. Rows are in order of images; a pair's matches are counted at once, so none is ever sent on.
+    """
+    keys = [key_of(np.int64(t), col["d0"], col["d1"]) for t in range(TABLES)]
+    label = np.unique(col["label"], return_inverse=True)[1]
+    root = np.arange(int(label.max()) + 1)
+    mine = label.copy()  # what each corner's image is linked to so far
+    many_of = np.bincount(col["nth"])
+    node, query = np.flatnonzero(tree), np.flatnonzero(asks)
+    of_tree = np.append(np.flatnonzero(_new(col["image"][node])), len(node))
+    start = np.flatnonzero(_new(col["image"][query]))
+    of_query = np.append(start, len(query))
+    for u, v in pairwise(_cuts(np.diff(of_tree), TREE)):
+        part = node[of_tree[u] : of_tree[v]]
+        by_key, low, many = [], [], []
+        for k in keys:
+            order = part[np.argsort(k[part], kind="stable")]
+            by_key.append((order, col["d0"][order], col["d1"][order]))
+            low.append(np.searchsorted(k[order], k[query], side="left"))
+            many.append(np.searchsorted(k[order], k[query], side="right") - low[-1])
+        for i, j in pairwise(_cuts(np.add.reduceat(sum(many), start), MEETINGS)):
+            own = slice(of_query[i], of_query[j])
+            asked = query[own]
+            found = []
+            for t in range(TABLES):
+                order, d0, d1 = by_key[t]
+                n = many[t][own]
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low[t][own], n)
+                apart = np.bitwise_count(np.repeat(col["d0"][asked], n) ^ d0[at])
+                apart += np.bitwise_count(np.repeat(col["d1"][asked], n) ^ d1[at])
+                ok = np.flatnonzero(apart <= RADIUS)
+                a, b = np.repeat(asked, n)[ok], order[at[ok]]
+                ok = mine[a] != mine[b]
+                if within:  # each pair of the cell's images meets twice
+                    ok &= a < b
+                for earlier in keys[:t]:
+                    ok &= earlier[a] != earlier[b]
+                found.append((a[ok], b[ok]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            # Most pairs have too few matches of one turn and scale: counters, shared by hash, show these.
+            turn, scale = (unpacked(col["place"][b], x) - unpacked(col["place"][a], x) for x in ("turn", "scale"))
+            at = ((col["nth"][a] * 1_000_003 + col["nth"][b]) * 131 + turn % TURNS * 5 + scale) * 0x9E3779B97F4A7C1 >> 20 & COUNTERS - 1
+            ok = np.bincount(at, minlength=COUNTERS)[at] >= votes
+            a, b, vote = _motions(col, a[ok], b[ok])
+            order = np.lexsort((vote, b, a))
+            a, b, n = _voted(a[order], b[order], vote[order], votes)
+            x, y = np.searchsorted(col["image"], a), np.searchsorted(col["image"], b)
+            ok = n >= share * np.minimum(many_of[col["nth"][x]], many_of[col["nth"][y]])
+            a, b, n, x, y = (c[ok] for c in (a, b, n, mine[x], mine[y]))
+            if len(a):
+                forest = spanning(root, x, y, -n)
+                root = join_labels(root, x[forest], y[forest])
+                mine = root[label]
+                yield a[forest], b[forest]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], votes: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Links in cells, which come one after the other, in order of images. Rows: part, other, own, image, label, corner, place, d0, d1."""
+
+    def met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        col = {n: np.asarray(rows.column(n)) for n in rows.column_names}
+        col["nth"] = np.cumsum(_new(col["image"]))
+        part, other = col["part"][0], col["other"][0]
+        for a, b in _cell(col, col["own"] == other, col["own"] == part, part == other, votes, share):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        part, other = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for i, j in pairwise(np.append(np.flatnonzero(_new(part, other)), len(batch))):
+            if last not in (None, (part[i], other[i])):
+                yield from met(held)
+                held = []
+            last = part[i], other[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield from met(held)
+    del held
+    common.settle()
 
 
 def _labelled(rows: DataFrame, roots: DataFrame, image: str, label: str) -> DataFrame:
@@ -249,11 +410,13 @@ def _labelled(rows: DataFrame, roots: DataFrame, image: str, label: str) -> Data
     return rows.join(roots, rows[image] == roots["__node"], "left").withColumn(label, F.coalesce("__root", image)).drop("__node", "__root")
 
 
-def links(found: DataFrame, votes: int = VOTES) -> DataFrame:
-    """Pairs (a, b) of images whose matches agree on a turn, scale and shift.
+def links(found: DataFrame, votes: int = VOTES, share: float = 0.0) -> DataFrame:
+    """Pairs (a, b) of images whose matches agree on a turn, scale and shift: in that many corners, and that share of those of the image
+    with fewer. All such pairs are connected by those that are told.
 
-    Matches are shuffled once, by pair; counting the corners of each bin needs no further exchange. A match is in four
-    bins, of grids half a bin apart, so that near shifts share one.
+    Buckets of at most ``MEET`` corners meet whole, and matches are shuffled once, by pair. Of larger ones neighbours meet first. Their
+    images are crowded: all of them that aren't connected yet meet in cells, by all their buckets. A pair with an image that isn't
+    crowded shares small buckets only.
     """
     common.ship(found.sparkSession)
     word = lambda t: F.col("d0" if t < 2 else "d1")
@@ -263,13 +426,29 @@ def links(found: DataFrame, votes: int = VOTES) -> DataFrame:
         key = F.when(F.col("table") == t, chunk(t)).otherwise(key)
     dealt = found.withColumn("table", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
     in_order = dealt.repartition("table", key).sortWithinPartitions("table", key, "d0", "d1", "place", "image", "corner")
-    matched = in_order.mapInArrow(_meet, "a long, b long, vote long").repartition("a", "b")
-    matched = matched.select("a", "b", F.shiftright("vote", CORNER_BITS).alias("motion"), F.col("vote").bitwiseAND(F.lit((1 << CORNER_BITS) - 1)).alias("corner"))
-    low = F.col("motion").bitwiseAND(F.lit((1 << 20) - 1))
-    middle = F.shiftright("motion", 20).bitwiseAND(F.lit((1 << 20) - 1))
-    bins = [F.struct(F.shiftright("motion", 40).alias("t"), F.lit(k).alias("k"), F.shiftright(middle + (k & 1), 1).alias("x"), F.shiftright(low + (k >> 1), 1).alias("y")) for k in range(4)]
-    voted = matched.withColumn("bin", F.explode(F.array(*bins))).groupBy("a", "b", "bin").agg(F.count_distinct("corner").alias("n"))
-    return voted.where(F.col("n") >= votes).select("a", "b").distinct()
+    matched = in_order.mapInArrow(_meet, "a long, b long, vote long").repartition("a", "b").sortWithinPartitions("a", "b", "vote")
+    sizes = found.groupBy("image").agg(F.count(F.lit(1)).alias("corners"))
+
+    near = matched.mapInArrow(partial(_counted, votes=votes), "a long, b long, n long")
+    if share:
+        near = near.join(sizes.toDF("a", "of_a"), "a").join(sizes.toDF("b", "of_b"), "b").where(F.col("n") >= share * F.least("of_a", "of_b"))
+    near = common.written(near.select("a", "b"), "near")
+    keyed = dealt.select("image", "table", key.alias("key"))
+    large = common.written(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MEET).drop("n"), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    crowd = keyed.join(large, ["table", "key"], "left_semi").select("image").distinct()
+    crowd = common.written(_labelled(sizes.join(crowd, "image"), components(near), "image", "label"), "crowd")
+    parts = -(-(crowd.agg(F.sum("corners")).first()[0] or 0) // PART)
+    if not parts:
+        return near
+    own = F.pmod(F.xxhash64("image"), F.lit(parts)).cast("int")
+    cells = (
+        found.join(crowd.drop("corners"), "image").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        .select(F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "own", "image", "label", "corner", "place", "d0", "d1")
+    )
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts * (parts + 1) // 2)
+    cells = cells.repartition(tasks, "part", "other").sortWithinPartitions("part", "other", "image")
+    return near.unionByName(cells.mapInArrow(partial(_cells, votes=votes, share=share), "a long, b long"))
 
 
 def copies(df: DataFrame, media: Column, key: str = "id") -> DataFrame:
@@ -281,7 +460,7 @@ def copies(df: DataFrame, media: Column, key: str = "id") -> DataFrame:
     # Numbers, written once, stand for digests from here on: no two media share one.
     classes = common.written(rows.groupBy("digest").agg(F.min("id").alias("class_id")).withColumn("image", F.monotonically_increasing_id()), "classes")
     single = whole.where("media is not null").groupBy("digest").agg(F.any_value("media").alias("media")).join(classes, "digest").select("image", "media")
-    pairs = common.written(links(common.written(corners(single), "corners")), "pairs")
+    pairs = common.written(links(common.written(corners(single), "corners"), AGREED, SHARE), "pairs")
     named = _labelled(classes, components(pairs), "image", "root")
     first = named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.count(F.lit(1)).alias("n_classes"))
     named = named.join(first, "root").select("digest", "class_id", "group_id", "n_classes")

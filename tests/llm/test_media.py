@@ -158,3 +158,48 @@ def test_pixmaps_and_vectors():
     assert np.allclose(m.decode(rgb), [[255, 0]], atol=0.1)
     assert m.rendered(None) is None and m.decode(m.rendered([0.0, float("nan"), 1.0])).shape == (64, 64)
     assert m.decode(m.rendered([1.0])).shape == (64, 64)
+
+
+def test_no_link_of_a_large_bucket_is_left_out(spark, monkeypatch):
+    """Four corners that all images have in buckets of 240 rows, most of which aren't next to their own copies' in any order."""
+    monkeypatch.setattr(m, "PART", 700)
+    monkeypatch.setattr(m, "TREE", 200)
+    monkeypatch.setattr(m, "MEETINGS", 500)
+    rng = np.random.default_rng(11)
+    rows = []
+    plain = rng.integers(0, 1 << 62, (4, 2))
+    for i in range(240):
+        place = np.random.default_rng(1000 + i % 120).integers(0, 4000, (4, 2)) / 4
+        for k in range(4):
+            d = plain[k].copy()
+            for bit in rng.integers(0, 24, 3):
+                d[0] ^= 1 << int(bit)
+            d[1] ^= 1 << int(rng.integers(0, 24))
+            at = m.packed(y=place[k : k + 1, 0], x=place[k : k + 1, 1], scale=np.zeros(1, int), turn=np.zeros(1, int))
+            rows.append((i, k, int(at[0]), int(d[0]), int(d[1])))
+    found = spark.createDataFrame(rows, m._CORNERS).repartition(3)
+    made = grouped(240, {(r.a, r.b) for r in m.links(found).collect()})
+    assert all(made[i] == made[i + 120] for i in range(120)) and len(set(made)) > 100
+
+
+def test_cells_of_any_size_tell_what_all_corners_tell(spark, monkeypatch):
+    images = [m.decode(r[1]) for r in case(6)[0]]
+    found = m.corners(spark.createDataFrame([(k, m.encode(np.rint(g))) for k, g in enumerate(images)], "image long, media binary")).toArrow()
+    col = {n: np.asarray(found.column(n)).astype(np.int64) for n in found.column_names}
+    order = np.lexsort((col["corner"], col["image"]))
+    col = {n: c[order] for n, c in col.items()} | {"label": col["image"][order], "own": col["image"][order] % 2}
+    every = [(a, b) for a in range(len(col["image"])) for b in range(a) if col["image"][a] != col["image"][b] and m._apart(col, a, b) <= m.RADIUS and any(m.key_of(np.int64(t), col["d0"][a], col["d1"][a]) == m.key_of(np.int64(t), col["d0"][b], col["d1"][b]) for t in range(m.TABLES))]
+    a, b, vote = m._motions(col, *np.array(every).T)
+    order = np.lexsort((vote, b, a))
+    want = set(zip(*(x.tolist() for x in m._voted(a[order], b[order], vote[order], m.VOTES)[:2]), strict=True))
+    assert len(want) > 20
+    for tree, meetings in ((1 << 16, 1 << 20), (60, 30)):
+        monkeypatch.setattr(m, "TREE", tree)
+        monkeypatch.setattr(m, "MEETINGS", meetings)
+        got = []
+        for part, other in ((0, 0), (0, 1), (1, 1)):
+            own = {n: c[(col["own"] == part) | (col["own"] == other)] for n, c in col.items()}
+            own["nth"] = np.cumsum(m._new(own["image"]))
+            for x in m._cell(own, own["own"] == other, own["own"] == part, part == other, m.VOTES):
+                got += zip(*(c.tolist() for c in x), strict=True)
+        assert set(got) <= want and grouped(len(images), got) == grouped(len(images), want)
