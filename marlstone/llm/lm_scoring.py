@@ -2,11 +2,11 @@
 
 A document's score is the sum over its words of log P(word | two words before, two after). The vocabulary is that of the
 whole corpus, by exact counts: its ``WORDS`` most frequent words are outputs of the network, all others share ``BUCKETS``
-more outputs by hash, and log P(word | its output) is that of the word's share of the output's counts. These counts are kept
-in slots: twice as many as there are such words, ``MOST_SLOTS`` at most; a word that isn't in the corpus gets ``UNSEEN`` of
-an occurrence. So what is gathered grows with the corpus, and a text of real but rare words scores above one of made-up words.
-The network: position embeddings side by side, one tanh layer, a softmax over ``CLASSES`` classes and one within the class.
-
+more outputs by hash, and log P(word | its output) is that of the word's own share of the output's counts; a word that isn't
+in the corpus gets ``UNSEEN`` of an occurrence. Tasks know the shares of the ``NAMED`` most frequent of these words; the
+occurrences of rarer ones, which are few, are joined with the counts, so every word has its own count at any size. ``score``,
+for texts at hand, does without the join: it has these shares by slots, twice as many as there are such words, ``MOST_SLOTS``
+at most, and words of one slot share it.
 Training runs where the data is: in each round every task starts from the same parameters, learns from its share of the word
 positions of all its documents, and sends its parameters on; they are averaged by positions in two steps, so the driver gets
 ``GROUPS`` sets a round. All rounds together learn from every position of the corpus just once; there is one, unless more are
@@ -14,7 +14,7 @@ asked for, whose shares lie side by side. How documents lie in tasks is part of
 parameters, and scores that differ a little.
 
 Defined cases: null and wordless texts have no token, logprob 0 and no mean; words are parted by ASCII blanks and
-lower-cased in ASCII; words of more than ``LONGEST`` bytes aren't counted and score as words that aren't in the corpus;
+lower-cased in ASCII; words of more than ``LONGEST`` bytes are counted by their digest and aren't outputs of their own;
 words with equal counts are in order of their bytes; repeated rows are scored each; an empty table leaves the network
 untrained and the result empty; a very long text is learned from and scored in batches of positions; columns other than the
 named ones aren't read.
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,10 @@ BUCKETS = 256
 WORDS = VOCABULARY - BUCKETS
 #: Counts of the other words, at most (16 MB), and at least; occurrences that a word out of the corpus gets.
 MOST_SLOTS, LEAST_SLOTS, UNSEEN = 1 << 23, 1 << 12, 0.5
+#: Other words whose shares tasks know, at most; rarer ones are joined.
+NAMED = 200_000
+#: Where a known word's place lies in its number, above its slot.
+_KNOWN = 24
 #: Parts in which the counts are sent on.
 RANGES = 64
 #: Other words whose hashes a task remembers before it forgets them all.
@@ -69,6 +74,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def key_of(word: bytes) -> bytes:
+    """The word, or a blank and its digest if it is long; no word has a blank."""
+    return word if len(word) <= LONGEST else b" " + sha256(word).digest()
+
+
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
@@ -156,36 +166,49 @@ def _softmax(z: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[np.nd
 
 @dataclass
 class Words:
-    """The corpus's vocabulary: ids of the frequent words; for the others, log P(word | output) by slot."""
+    """The corpus's vocabulary: ids of the frequent words; for the others, log P(word | output) by slot, log P of a word out of the
+    corpus by output, and what more known words have; ``rest``: the words that aren't known (word, more).
+    """
 
     names: dict[bytes, int]
     slots: np.ndarray
+    unseen: np.ndarray
+    known: dict[bytes, float] = field(default_factory=dict)
+    rest: DataFrame | None = None
 
     def slot(self, word: bytes) -> int:
-        return xxhash.xxh64_intdigest(word, seed=42) & (len(self.slots) - 1)
+        return xxhash.xxh64_intdigest(key_of(word), seed=42) & (len(self.slots) - 1)
 
     def numbers(self) -> _Numbers:
         return _Numbers(self)
 
 
 class _Numbers(dict):
-    """Words' numbers: below 0 those of frequent words, else slots, which are worked out once and remembered."""
+    """Words' numbers: below 0 those of frequent words, else slots, below the places of known words (from 1) in ``more``; slots are
+    worked out once and remembered.
+    """
 
     def __init__(self, words: Words):
         self.words = words
+        self.more = np.array([0.0, *words.known.values()])
         super().__init__((w, -1 - i) for w, i in words.names.items())
+        self.update((w, words.slot(w) + (k << _KNOWN)) for k, w in enumerate(words.known, 1))
+        self.least = len(self)
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONGEST:
+            key = key_of(word)
+            return self[key] if key in self else self.words.slot(word)
         self[word] = n = self.words.slot(word)
         return n
 
     def thinned(self) -> _Numbers:
         """These, or fresh ones in place of too many."""
-        return self if len(self) <= WORDS + REMEMBERED else _Numbers(self.words)
+        return self if len(self) <= self.least + REMEMBERED else _Numbers(self.words)
 
 
-def ids_of(texts: list[bytes | None], numbers: _Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words with padding around each text; the places of the words; the number of words of each text; slots, or below 0."""
+def ids_of(texts: list[bytes | None], numbers: _Numbers, said: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words with padding around each text; the places of the words; the number of words of each text; slots, or below 0. The words go to ``said``."""
     pad = [-1 - PAD] * REACH
     flat: list[int] = []
     sizes = []
@@ -194,6 +217,8 @@ def ids_of(texts: list[bytes | None], numbers: _Numbers) -> tuple[np.ndarray, np
         sizes.append(len(own))
         flat += pad
         flat += map(numbers.__getitem__, own)
+        if said is not None:
+            said += own
     flat += pad
     slots = np.array(flat, dtype=np.int64)
     ids = np.where(slots < 0, -1 - slots, WORDS + (slots & (BUCKETS - 1))).astype(np.int32)
@@ -205,17 +230,26 @@ def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def score(network: Network, numbers: _Numbers, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text."""
-    ids, at, sizes, slots = ids_of(texts, numbers)
-    words = numbers.words
+    """Words and summed log-probability of each text, other words' shares by slots."""
+    return _score(network, numbers, texts, lambda own: numbers.words.slots[own & (1 << _KNOWN) - 1])[:2]
+
+
+def _score(network: Network, numbers: _Numbers, texts: list[bytes | None], share) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Also the keys of each text's words that are neither frequent nor known."""
+    said: list[bytes] = []
+    ids, at, sizes, slots = ids_of(texts, numbers, said)
     doc = np.repeat(np.arange(len(texts)), sizes)
     out = np.zeros(len(texts))
     for k in range(0, len(at), BLOCK):
         part = at[k : k + BLOCK]
         own = slots[part]
-        found = network.log_p(around(ids, part), ids[part]) + np.where(own < 0, 0, words.slots[np.maximum(own, 0)])
+        found = network.log_p(around(ids, part), ids[part]) + np.where(own < 0, 0, share(np.maximum(own, 0)))
         out += np.bincount(doc[k : k + BLOCK], weights=found, minlength=len(texts))
-    return sizes, out
+    own = slots[at]
+    rare = np.flatnonzero((own >= 0) & (own >> _KNOWN == 0))
+    ends = np.searchsorted(rare, np.append(0, np.cumsum(sizes)))
+    keys = [key_of(said[k]) for k in rare.tolist()]
+    return sizes, out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.binary()))
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -235,18 +269,19 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
 
         for _, texts in common.chunks(batches, "__text"):
             for t in texts:
-                held.update(words_of(t))
+                own = words_of(t)
+                held.update(map(key_of, own) if own and max(map(len, own)) > LONGEST else own)
             if len(held) > COUNTED:
-                for w in [w for w in held if len(w) > LONGEST]:
-                    del held[w]
                 yield sent()
                 held.clear()
         yield sent()
 
-    counts = docs.select(F.col(text).alias("__text")).mapInArrow(run, "word binary, n long").where(F.octet_length("word") <= LONGEST)
+    counts = docs.select(F.col(text).alias("__text")).mapInArrow(run, "word binary, n long")
     counts = common.written(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    names = {bytes(r.word): k for k, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(WORDS).collect())}
-    size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * counts.count() - 1).bit_length() if names else 0))
+    short = ~F.startswith("word", F.lit(b" "))
+    names = {bytes(r.word): k for k, r in enumerate(counts.where(short).orderBy(F.desc("n"), "word").limit(WORDS).collect())}
+    many = counts.count()
+    size = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (2 * many - 1).bit_length() if many else 0))
     each = size // RANGES
     known = docs.sparkSession.createDataFrame([(bytearray(w),) for w in names], "word binary")
     others = counts.join(F.broadcast(known), "word", "left_anti")
@@ -266,7 +301,20 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
     found = np.zeros(size, dtype=np.float32)
     for r in ranged.collect():  # ``RANGES`` rows, 32 MB at most
         found[r.part * each : (r.part + 1) * each] = np.frombuffer(r.counts, dtype=np.float32)
-    return Words(names, shares(found))
+    # Counts that at most ``NAMED`` words reach tell which are known.
+    levels = sorted(others.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    reached = np.cumsum([r.words for r in levels])
+    left = int(np.searchsorted(reached, NAMED, side="right"))
+    more = others.select("word", "n", F.log((F.col("n") + UNSEEN) / UNSEEN).alias("more"))
+    rest = more.where(F.col("n") <= levels[left].n).select("word", "more") if left < len(levels) else None
+    top = (more.where(F.col("n") > levels[left].n) if rest is not None else more).select("word", "more").toArrow()
+    known = dict(zip(top.column("word").to_pylist(), top.column("more").to_pylist(), strict=True))
+    # An output's words have their counts and ``UNSEEN`` each; words out of the corpus have the slots that are empty.
+    total = UNSEEN * (found.reshape(-1, BUCKETS) == 0).sum(axis=0)
+    output = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1))
+    for r in others.groupBy(output.alias("output")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        total[r.output] += r.n + UNSEEN * r.words
+    return Words(names, shares(found), np.log(UNSEEN / np.maximum(total, UNSEEN)), known, rest)
 
 
 def share(at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -276,7 +324,7 @@ def share(at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
 
 def _round(docs: DataFrame, text: str, network: Network, words: Words, turn: int = 0, rounds: int = 1) -> Network:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((network.p, words))
+    sent = spark.sparkContext.broadcast((network.p, replace(words, rest=None, known={})))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -327,26 +375,36 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Netw
 
 
 def score_rows(docs: DataFrame, network: Network, words: Words, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, n_tokens, logprob and mean_logprob of every row; one pass, no shuffle."""
+    """``keep``, n_tokens, logprob and mean_logprob of every row; one pass, and a join of the rare words' occurrences."""
     spark = docs.sparkSession
     common.ship(spark)
-    sent = spark.sparkContext.broadcast((network.p, words))
-    column = common.free("__text", keep)
+    sent = spark.sparkContext.broadcast((network.p, replace(words, rest=None)))
+    column, row, rest, more = (common.free(n, keep) for n in ("__text", "__row", "__rest", "__more"))
     source = docs.select(*keep, F.col(text).alias(column))
     out = T.StructType([
         *docs.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("logprob", T.DoubleType()),
-        T.StructField("mean_logprob", T.DoubleType()),
+        T.StructField(row, T.LongType()), T.StructField(rest, T.ArrayType(T.BinaryType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own, numbers = Network(sent.value[0]), sent.value[1].numbers()
+        place = TaskContext.get().partitionId() << 33
         for rows, texts in common.chunks(batches, column):
             numbers = numbers.thinned()
-            n, total = score(own, numbers, texts)
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n, pa.int64()), pa.array(total), mean], names=out.names)
-
-    return source.mapInArrow(run, out)
+            # Words that aren't known count as out of the corpus here; the join adds what they have more.
+            n, total, rare = _score(own, numbers, texts, lambda s, k=numbers: k.words.unseen[s & BUCKETS - 1] + k.more[s >> _KNOWN])
+            at = pa.array(np.arange(place, place + len(n)))
+            place += len(n)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(n, pa.int64()), pa.array(total), at, rare], names=out.names)
+
+    made = source.mapInArrow(run, out)
+    if words.rest is not None:
+        made = common.written(made, "scored")
+        rare = made.select(row, F.explode(rest).alias("word")).join(words.rest, "word").groupBy(row).agg(F.sum("more").alias(more))
+        made = made.drop(rest).join(rare, row, "left").withColumn("logprob", F.col("logprob") + F.coalesce(more, F.lit(0.0)))
+    return made.select(*keep, "n_tokens", "logprob", F.when(F.col("n_tokens") > 0, F.col("logprob") / F.col("n_tokens")).alias("mean_logprob"))
 
 
 def scores(docs: DataFrame) -> DataFrame:

@@ -122,3 +122,34 @@ def test_gradients(fitted):
 def test_empty_table(spark):
     assert lm.scores(spark.createDataFrame([], DOCS)).collect() == []
     assert [r.logprob for r in lm.scores(spark.createDataFrame([(1, None, "")], DOCS)).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("named", [0, 40, 200_000])
+def test_every_word_has_its_own_count_however_few_the_slots(spark, monkeypatch, named):
+    monkeypatch.setattr(lm, "MOST_SLOTS", 512)
+    monkeypatch.setattr(lm, "LEAST_SLOTS", 512)
+    monkeypatch.setattr(lm, "NAMED", named)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.2))}" for _ in range(60)) for _ in range(200)]
+    texts += ["y" * 90 + " w1 w2", "w1 " + "Y" * 90, "z" * 70 + " w3"]
+    words = lm.vocabulary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    counts = {}
+    for t in texts:
+        for w in lm.words_of(t.encode()):
+            counts[w] = counts.get(w, 0) + 1
+    others = {w: n for w, n in counts.items() if w not in words.names}
+    assert len(others) > 1000 and len(words.slots) == 512 and len(words.known) <= named
+    empty = [sum(k % lm.BUCKETS == b for k in set(range(512)) - {words.slot(w) for w in others}) for b in range(lm.BUCKETS)]
+    total = [lm.UNSEEN * n for n in empty]
+    for w, n in others.items():
+        total[words.slot(w) % lm.BUCKETS] += n + lm.UNSEEN
+    network = lm.Network.fresh()
+    asked = [*texts[-20:], None, "", "never seen " + "q" * 80 + " w1", texts[0]]
+    rows = lm.score_rows(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(asked)], DOCS), network, words).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        raw = asked[r.doc_id].encode() if asked[r.doc_id] else None
+        ids, at, _, _ = lm.ids_of([raw], words.numbers())
+        own = [w for w in lm.words_of(raw) if w not in words.names]
+        want = sum(plain_log_p(network, ids, k) for k in at) + sum(math.log((others.get(w, 0) + lm.UNSEEN) / max(total[words.slot(w) % lm.BUCKETS], lm.UNSEEN)) for w in own)
+        assert r.n_tokens == len(at) and r.logprob == pytest.approx(want, rel=1e-4, abs=1e-4)
