@@ -6,9 +6,12 @@ Any m finds every link; ``BLOCKS`` keeps shards of random fingerprints small up
 fingerprints is split, and each part's tree meets each part's queries in a cell of its own. A cell sends on a spanning
 forest of its links, never all pairs: components need no more. Equal fingerprints are one node from the start.
 
-``similar`` is the exact form, for a Jaccard similarity of shingle sets. Nodes are distinct sets of shingles. In one order of all
+``similar`` is the form for a Jaccard similarity of shingle sets. Nodes are distinct sets of shingles. First the BK-trees link their
+fingerprints within ``NEAR`` bits; the sets of each such link, and of equal fingerprints, are compared, which an equal phrase
+in unlike texts doesn't stand. Similar sets may differ in more bits than a tree can prune, so the rest is found exactly, among
+sets that the trees haven't joined. In one order of all
 shingles a set's prefix is so long that two sets of the similarity must share a shingle of their prefixes; so every shingle
-has a list of sets, and candidates share a list. First every set of a list meets the list's first one: that many pairs a list
+has a list of sets, and candidates share a list. Every set of a list meets the list's first one: that many pairs a list
 row, not a square. What their comparison links is labelled; then the sets of a list meet all others of it that have another
 label, in cells like those above, where sizes, positions and sketches rule out, for sure, pairs that can't be similar, before
 they are told; at first a cell tells a spanning forest of the rest only, by the sketches' likeness, and after another
@@ -47,7 +50,9 @@ BLOCKS = 7
 BROADCAST_ROWS = 100_000
 #: Hashes whose bits are laid out at once.
 BITS_AT_ONCE = 1 << 14
-#: The exact form: documents that show which shingles are common, such shingles at most, sets of a list that meet in one step.
+#: The form by similarity: differing bits within which trees link, and the blocks for that (28 choices of two, with 16 bits each).
+NEAR, NEAR_BLOCKS = 6, 8
+#: Documents that show which shingles are common, such shingles at most, sets of a list that meet in one step.
 SAMPLE, COMMON, MEET = 8_000, 100_000, 64
 #: Bits of a sketch, at least; a brief one has just so many.
 LEAST_BITS = 512
@@ -356,6 +361,21 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float, forest: bool)
         yield from thinned(by_query(edge[k], edge[k + 1]))
 
 
+def _by_trees(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (``node``, ``fp``) that connect what the fingerprints within ``NEAR`` bits connect, by the trees."""
+    first = common.written(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = nodes.join(first.toDF("fp", "a"), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    found = links(first.select("fp"), NEAR, blocks=NEAR_BLOCKS).distinct().toDF("fp_a", "fp_b")
+    return found.join(first.toDF("fp_a", "a"), "fp_a").join(first.toDF("fp_b", "b"), "fp_b").select("a", "b").unionByName(equal)
+
+
+def _apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the roots (node, root) don't join."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.toDF(side, f"of_{side}"), side, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b: nodes) whose sets of shingles have the similarity; the sets come from the texts again."""
     own = nodes.select("node", "size", "sketch")
@@ -437,13 +457,15 @@ def _groups(df: DataFrame, text: str, words: int, similarity: float) -> tuple[Da
     hashed = source.select("doc_id", F.coalesce(F.xxhash64("__text"), F.lit(0)).alias("th"), "__text")
     docs = common.written(hashed.mapInArrow(run, shape), "signatures")
     # Documents of one set of shingles are one node.
-    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "nodes")
+    nodes = common.written(docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief")), "nodes")
     lists = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key")).select("key", "node", "size", "pos")
     rows = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS / 4))
     lists = lists.repartition(parts, "key").sortWithinPartitions("key", "node")
     met = common.written(lists.mapInArrow(partial(_met, similarity=similarity), "key long, a long, b long, size int, pos int"), "met")
-    found = _verified(met.where("key is null").select("a", "b"), source, nodes, words, similarity)
+    found = _verified(_by_trees(nodes.select("node", "fp")), source, nodes, words, similarity)
+    firsts = _apart_by(met.where("key is null").select("a", "b").distinct(), components(found))
+    found = found.unionByName(_verified(firsts, source, nodes, words, similarity))
     crowd = met.where("key is not null").select(F.lit(0).alias("choice"), F.col("key").alias("shard"), F.col("a").alias("fp"), "size", "pos")
     n = crowd.count()
     for forest in (True, False) if n else ():

@@ -270,3 +270,40 @@ def test_lightest_spanning_forests():
             if x != y:
                 root[x], total, taken = y, total + weight[k], taken + 1
         assert len(own) == taken and weight[own].sum() == total
+
+
+def test_similar_links_by_trees_and_compares_the_sets(spark, monkeypatch):
+    """Without lists of shingles, what the trees link within their bits is linked, if the sets are similar."""
+    rng = np.random.default_rng(21)
+    vocab = ["w%d" % i for i in range(3000)]
+    rows = []
+    for _ in range(30):
+        base = list(rng.choice(vocab, 400))
+        rows += [" ".join(base), *(" ".join([*base[:k], "new", *base[k + 1 :]]) for k in (0, 399))]
+    rows += [" ".join(rng.choice(vocab, 300)) for _ in range(30)]
+    sets = [shingles(t) for t in rows]
+    fps = [int(simhash.fingerprint(np.unique(simhash.hashes_of(t.encode(), 5)))) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR]
+    similar = [(i, j) for i, j in near if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(similar) > 60
+
+    def none(batches, similarity):
+        return (b for b in () for b in batches)
+
+    monkeypatch.setattr(simhash, "_met", none)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, t, None) for i, t in enumerate(rows)], DOCS).repartition(3)).collect()}
+    assert all(got[i] == got[j] for i, j in similar)
+    assert all(got[i] == i for i in range(90, 120))
+
+
+def test_trees_connect_fingerprints_within_their_bits(spark):
+    rng = np.random.default_rng(22)
+    fps = [int(x) for x in rng.integers(0, 1 << 62, 60)]
+    for x in fps[:60]:
+        y = x
+        for b in rng.choice(62, int(rng.integers(0, 9)), replace=False):
+            y ^= 1 << int(b)
+        fps.append(y)
+    made = {r.node: r.root for r in components(simhash._by_trees(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"))).collect()}
+    want = plain_components(fps, simhash.NEAR)
+    assert [made.get(i, i) for i in range(len(fps))] == want and 10 < len(fps) - len(set(want)) < 60
