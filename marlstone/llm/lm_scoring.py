@@ -22,7 +22,6 @@ named ones aren't read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from hashlib import sha256
@@ -30,6 +29,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +60,10 @@ GROUPS = 16
 LONGEST = 64
 #: Positions that are scored at once.
 BLOCK = 1 << 13
-#: Different words that a task counts before it sends them on.
-COUNTED = 400_000
+#: Bytes of text whose words a task counts at once.
+COUNTED = 1 << 25
+#: Scores whose exponentials a float holds as they are.
+NEAR = 40
 
 PAD = VOCABULARY
 _SHAPES = {
@@ -74,11 +76,26 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def split(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as ``words_of`` has them, one after the other, and the number of words of each text."""
+    own = [t.lower().strip() if t else b"" for t in texts]
+    sizes = np.array([bool(t) for t in own], dtype=np.int64)
+    found = compute.ascii_split_whitespace(pa.array([t for t in own if t], pa.large_binary()).view(pa.large_string()))
+    sizes[sizes > 0] = np.asarray(compute.list_value_length(found))
+    return found.flatten().view(pa.large_binary()), sizes
+
+
 def key_of(word: bytes) -> bytes:
     """The word, or a blank and its digest if it is long; no word has a blank."""
     return word if len(word) <= LONGEST else b" " + sha256(word).digest()
 
 
+def keys_of(words: pa.Array) -> pa.Array:
+    if not len(words) or compute.max(compute.binary_length(words)).as_py() <= LONGEST:
+        return words.cast(pa.binary())
+    return pa.array([key_of(w) for w in words.to_pylist()], pa.binary())
+
+
 @dataclass
 class Network:
     p: dict[str, np.ndarray]
@@ -101,28 +118,30 @@ class Network:
             at += n
         return Network(out)
 
-    def _forward(self, around: np.ndarray, target: np.ndarray):
+    def _forward(self, around: np.ndarray, target: np.ndarray, learning: bool = True):
         """Activations with positions side by side, in order of their classes, so that a class is one slice."""
         p = self.p
-        order = np.argsort(target // SIZE, kind="stable")
+        order = np.argsort((target // SIZE).astype(np.uint8), kind="stable")
         around, target = around[order], target[order]
         c, s = target // SIZE, target % SIZE
         edges = np.searchsorted(c, np.arange(CLASSES + 1))
         x = p["e"][around].reshape(len(around), -1).T
         h = np.tanh(p["w"].T @ x + p["b"][:, None])
         rows = np.arange(len(target))
-        pc, log_p = _softmax(p["wc"].T @ h + p["bc"][:, None], c, rows)
+        # No activation is beyond 1, so the weights tell how large a score can be.
+        far = [not (np.abs(p[w]).sum(axis=-2) + np.abs(p[b])).max() <= NEAR for w, b in (("wc", "bc"), ("wo", "bo"))]
+        pc, log_p = _softmax(p["wc"].T @ h + p["bc"][:, None], c, rows, far[0], learning)
         parts = []
         for k in range(CLASSES):
             own = slice(edges[k], edges[k + 1])
             if edges[k] < edges[k + 1]:
-                po, more = _softmax(p["wo"][k].T @ h[:, own] + p["bo"][k][:, None], s[own], rows[: edges[k + 1] - edges[k]])
+                po, more = _softmax(p["wo"][k].T @ h[:, own] + p["bo"][k][:, None], s[own], rows[: edges[k + 1] - edges[k]], far[1], learning)
                 log_p[own] += more
                 parts.append((k, own, po))
         return order, around, x, h, c, s, pc, parts, log_p
 
     def log_p(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        order, *_, found = self._forward(around, target)
+        order, *_, found = self._forward(around, target, learning=False)
         out = np.empty(len(target))
         out[order] = found
         return out
@@ -154,13 +173,15 @@ class Network:
             p[k] -= RATE * d / np.sqrt(seen[k] + 1e-8)
 
 
-def _softmax(z: np.ndarray, target: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each column of scores, and the target's log-probability."""
-    z -= z.max(axis=0)
+def _softmax(z: np.ndarray, target: np.ndarray, rows: np.ndarray, far: bool = True, learning: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each column of scores (if ``learning``), and the target's log-probability. Scores that aren't ``far`` are within ``NEAR``."""
+    if far:
+        z -= z.max(axis=0)
     log_p = z[target, rows]
     np.exp(z, out=z)
-    total = z.sum(axis=0)
-    z /= total
+    total = np.ones(len(z), dtype=z.dtype) @ z
+    if learning:
+        z /= total
     return z, log_p - np.log(total)
 
 
@@ -207,22 +228,21 @@ class _Numbers(dict):
         return self if len(self) <= self.least + REMEMBERED else _Numbers(self.words)
 
 
-def ids_of(texts: list[bytes | None], numbers: _Numbers, said: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words with padding around each text; the places of the words; the number of words of each text; slots, or below 0. The words go to ``said``."""
-    pad = [-1 - PAD] * REACH
-    flat: list[int] = []
-    sizes = []
-    for t in texts:
-        own = words_of(t)
-        sizes.append(len(own))
-        flat += pad
-        flat += map(numbers.__getitem__, own)
-        if said is not None:
-            said += own
-    flat += pad
-    slots = np.array(flat, dtype=np.int64)
+def ids_of(texts: list[bytes | None], numbers: _Numbers, said: list[pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words with padding around each text; the places of the words; the number of words of each text; slots, or below 0. The words go to ``said``.
+
+    Each different word is looked up once.
+    """
+    words, sizes = split(texts)
+    if said is not None:
+        said.append(words)
+    coded = words.dictionary_encode()
+    found = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+    at = np.arange(len(words)) + REACH * (1 + np.repeat(np.arange(len(texts)), sizes))
+    slots = np.full(len(words) + REACH * (1 + len(texts)), -1 - PAD)
+    slots[at] = found[np.asarray(coded.indices)]
     ids = np.where(slots < 0, -1 - slots, WORDS + (slots & (BUCKETS - 1))).astype(np.int32)
-    return ids, np.flatnonzero(ids != PAD), np.array(sizes), slots
+    return ids, at, sizes, slots
 
 
 def around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -236,7 +256,7 @@ def score(network: Network, numbers: _Numbers, texts: list[bytes | None]) -> tup
 
 def _score(network: Network, numbers: _Numbers, texts: list[bytes | None], share) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Also the keys of each text's words that are neither frequent nor known."""
-    said: list[bytes] = []
+    said: list[pa.Array] = []
     ids, at, sizes, slots = ids_of(texts, numbers, said)
     doc = np.repeat(np.arange(len(texts)), sizes)
     out = np.zeros(len(texts))
@@ -248,8 +268,7 @@ def _score(network: Network, numbers: _Numbers, texts: list[bytes | None], share
     own = slots[at]
     rare = np.flatnonzero((own >= 0) & (own >> _KNOWN == 0))
     ends = np.searchsorted(rare, np.append(0, np.cumsum(sizes)))
-    keys = [key_of(said[k]) for k in rare.tolist()]
-    return sizes, out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.binary()))
+    return sizes, out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys_of(said[0].take(pa.array(rare))))
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -262,18 +281,19 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
     """The most frequent words, ties by their bytes, and the counts of the others; counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
+        size = 0
 
         def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            own = pa.chunked_array(held, pa.large_binary()).value_counts()
+            return pa.RecordBatch.from_arrays([keys_of(own.field(0)), own.field(1)], names=["word", "n"])
 
         for _, texts in common.chunks(batches, "__text"):
-            for t in texts:
-                own = words_of(t)
-                held.update(map(key_of, own) if own and max(map(len, own)) > LONGEST else own)
-            if len(held) > COUNTED:
+            held.append(split(texts)[0])
+            size += sum(len(t) for t in texts if t)
+            if size > COUNTED:
                 yield sent()
-                held.clear()
+                held, size = [], 0
         yield sent()
 
     counts = docs.select(F.col(text).alias("__text")).mapInArrow(run, "word binary, n long")

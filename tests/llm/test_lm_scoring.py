@@ -153,3 +153,32 @@ def test_every_word_has_its_own_count_however_few_the_slots(spark, monkeypatch,
         own = [w for w in lm.words_of(raw) if w not in words.names]
         want = sum(plain_log_p(network, ids, k) for k in at) + sum(math.log((others.get(w, 0) + lm.UNSEEN) / max(total[words.slot(w) % lm.BUCKETS], lm.UNSEEN)) for w in own)
         assert r.n_tokens == len(at) and r.logprob == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_each_different_word_of_a_batch_is_looked_up_once():
+    texts = [b"a B b\x0bc", None, b" \n", b"\xff\xfe a  c\x1cd " + b"x" * 100, b"c " * 500 + "É é".encode()]
+    asked = []
+
+    class Numbers(dict):
+        def __missing__(self, word):
+            asked.append(word)
+            return len(word)
+
+    said = []
+    ids, at, sizes, slots = lm.ids_of(texts, Numbers(), said)
+    every = [lm.words_of(t) for t in texts]
+    words = [w for own in every for w in own]
+    assert sorted(asked) == sorted(set(words))
+    assert sizes.tolist() == [len(own) for own in every] and said[0].to_pylist() == words
+    assert slots[at].tolist() == [len(w) for w in words] and at.tolist() == np.flatnonzero(ids != lm.PAD).tolist()
+    keys = lm.keys_of(said[0]).to_pylist()
+    assert keys == [lm.key_of(w) for w in words] and any(len(w) > lm.LONGEST for w in words)
+
+
+def test_scores_far_apart_have_probabilities():
+    z = np.array([[300.0, -300], [0, 0], [299, 1]], dtype=np.float32)
+    p, log_p = lm._softmax(z.copy(), np.array([2, 0]), np.arange(2))
+    assert np.allclose(p.sum(axis=0), 1) and np.allclose(log_p, [-1 - np.log1p(np.exp(-1)), -301 - np.log1p(np.exp(-1))])
+    network = lm.Network.fresh()
+    network.p["bo"][0, 0] = 1000
+    assert np.allclose(network.log_p(np.full((1, 2 * lm.REACH), lm.PAD), np.array([1])), -1000, atol=20)
