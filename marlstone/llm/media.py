@@ -58,8 +58,8 @@ CORNER_BITS = 14
 TOGETHER = 256
 #: Large buckets that are told to all tasks at once; beyond, they are joined.
 BROADCAST_ROWS = 100_000
-#: Corners of a part of the crowded images; corners of a cell's tree, meetings and counters at once.
-PART, TREE, MEETINGS, COUNTERS = 1 << 18, 1 << 16, 1 << 20, 1 << 20
+#: Corners of a part of the crowded images; corners of a cell's tree and meetings that are compared at once.
+PART, TREE, MEETINGS = 1 << 18, 1 << 18, 1 << 16
 
 _HEADER = re.compile(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s")
 
@@ -321,48 +321,60 @@ def _cuts(sizes: np.ndarray, most: int) -> list[int]:
 
 def _cell(col: dict[str, np.ndarray], tree: np.ndarray, asks: np.ndarray, within: bool, votes: int, share: float = 0.0) -> Iterator[tuple[np.ndarray, ...]]:
     """A spanning forest of the linked images of a cell that have different labels: every corner that asks meets all of the tree's
-    that share a bucket with it. Rows are in order of images; a pair's matches are counted at once, so none is ever sent on.
+    that share a bucket with it. Rows are in order of images; a pair's matches are counted at once, so none is ever sent on. Matches
+    that agree are meetings of one turn: only pairs with as many meetings of a turn as a link needs matches are compared.
     """
     keys = [key_of(np.int64(t), col["d0"], col["d1"]) for t in range(TABLES)]
+    turns = unpacked(col["place"], "turn")
     label = np.unique(col["label"], return_inverse=True)[1]
     root = np.arange(int(label.max()) + 1)
     mine = label.copy()  # what each corner's image is linked to so far
     many_of = np.bincount(col["nth"])
     node, query = np.flatnonzero(tree), np.flatnonzero(asks)
+    if not len(node) or not len(query):
+        return
     of_tree = np.append(np.flatnonzero(_new(col["image"][node])), len(node))
-    start = np.flatnonzero(_new(col["image"][query]))
-    of_query = np.append(start, len(query))
+    of_query = np.append(np.flatnonzero(_new(col["image"][query])), len(query)).tolist()
+    rows = len(label)
     for u, v in pairwise(_cuts(np.diff(of_tree), TREE)):
         part = node[of_tree[u] : of_tree[v]]
-        by_key, low, many = [], [], []
-        for k in keys:
+        by_key, low, high = [], [], []
+        for t, k in enumerate(keys):
             order = part[np.argsort(k[part], kind="stable")]
-            by_key.append((order, col["d0"][order], col["d1"][order]))
-            low.append(np.searchsorted(k[order], k[query], side="left"))
-            many.append(np.searchsorted(k[order], k[query], side="right") - low[-1])
-        for i, j in pairwise(_cuts(np.add.reduceat(sum(many), start), MEETINGS)):
-            own = slice(of_query[i], of_query[j])
-            asked = query[own]
-            found = []
-            for t in range(TABLES):
-                order, d0, d1 = by_key[t]
-                n = many[t][own]
-                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low[t][own], n)
-                apart = np.bitwise_count(np.repeat(col["d0"][asked], n) ^ d0[at])
-                apart += np.bitwise_count(np.repeat(col["d1"][asked], n) ^ d1[at])
-                ok = np.flatnonzero(apart <= RADIUS)
-                a, b = np.repeat(asked, n)[ok], order[at[ok]]
-                ok = mine[a] != mine[b]
-                if within:  # each pair of the cell's images meets twice
-                    ok &= a < b
-                for earlier in keys[:t]:
-                    ok &= earlier[a] != earlier[b]
-                found.append((a[ok], b[ok]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            # Most pairs have too few matches of one turn and scale: counters, shared by hash, show these.
-            turn, scale = (unpacked(col["place"][b], x) - unpacked(col["place"][a], x) for x in ("turn", "scale"))
-            at = ((col["nth"][a] * 1_000_003 + col["nth"][b]) * 131 + turn % TURNS * 5 + scale) * 0x9E3779B97F4A7C1 >> 20 & COUNTERS - 1
-            ok = np.bincount(at, minlength=COUNTERS)[at] >= votes
+            place = k[order] * rows + order
+            # A pair of the cell's own images meets once.
+            low.append(np.searchsorted(place, k[query] * rows + (query + 1 if within else 0)) + t * len(part))
+            high.append(np.searchsorted(place, (k[query] + 1) * rows) + t * len(part))
+            by_key.append(order)
+        by_key, low, high = np.concatenate(by_key), np.array(low).T.copy(), np.array(high).T.copy()
+        # Counters by image and turn, for each turn of a corner that asks.
+        seen = (np.cumsum(_new(col["image"][part])) - 1)[np.searchsorted(part, by_key)] * TURNS
+        counter = [(seen + (turns[by_key] - k) % TURNS).astype(np.int32) for k in range(TURNS)]
+        first = part[np.append(0, np.flatnonzero(np.diff(col["nth"][part])) + 1)]  # a corner of each image
+        sizes = many_of[col["nth"][first]]
+        held, waiting = [], 0
+        for i, j in pairwise(of_query):
+            asked = query[i:j]
+            lo, hi = low[i:j].ravel(), high[i:j].ravel()
+            met = np.concatenate([counter[t][x:y] for t, x, y in zip(np.repeat(turns[asked], TABLES).tolist(), lo.tolist(), hi.tolist(), strict=True)], dtype=np.int64)
+            n = np.bincount(met)
+            # Most pairs have too few meetings, and so too few matches, of one turn.
+            at = np.flatnonzero(n[met] >= votes)
+            often = met[at]
+            other = often // TURNS
+            at = at[(n[often] >= share * np.minimum(sizes[other], j - i)) & (mine[first[other]] != mine[asked[0]])]
+            if len(at):
+                ends = np.cumsum(hi - lo)
+                nth = np.searchsorted(ends, at, side="right")
+                held.append((asked[nth // TABLES], by_key[at + hi[nth] - ends[nth]], nth % TABLES))
+                waiting += len(at)
+            if not held or waiting < MEETINGS and j < len(query):
+                continue
+            a, b, table = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, waiting = [], 0
+            ok = np.flatnonzero((mine[a] != mine[b]) & (_apart(col, a, b) <= RADIUS))
+            for t in range(TABLES - 1):  # a match in several tables is one
+                ok = ok[(table[ok] <= t) | (keys[t][a[ok]] != keys[t][b[ok]])]
             a, b, vote = _motions(col, a[ok], b[ok])
             order = np.lexsort((vote, b, a))
             a, b, n = _voted(a[order], b[order], vote[order], votes)

@@ -203,3 +203,25 @@ def test_cells_of_any_size_tell_what_all_corners_tell(spark, monkeypatch):
             for x in m._cell(own, own["own"] == other, own["own"] == part, part == other, m.VOTES):
                 got += zip(*(c.tolist() for c in x), strict=True)
         assert set(got) <= want and grouped(len(images), got) == grouped(len(images), want)
+
+
+def test_few_meetings_of_plain_patterns_are_compared(monkeypatch):
+    """Unrelated images with corners of the same few patterns, and one copy: meetings are counted, those of likely pairs are compared."""
+    rng = np.random.default_rng(11)
+    images, each = 120, 30
+    n = images * each
+    pattern = rng.integers(0, 60, n)
+    d0, d1 = (rng.integers(0, 1 << 30, n) << 32) + pattern, rng.integers(0, 1 << 62, n)
+    turn, y, x = rng.integers(0, m.TURNS, n), rng.integers(8, 56, n), rng.integers(8, 56, n)
+    for c in (pattern, d0, d1, turn, y, x):
+        c[-each:] = c[:each]
+    image = np.repeat(np.arange(images), each)
+    col = {"image": image, "label": image, "corner": np.tile(np.arange(each), images), "place": m.packed(y=y, x=x, scale=np.zeros(n), turn=turn), "d0": d0, "d1": d1, "nth": image + 1}
+    compared = []
+    count = np.bitwise_count
+    monkeypatch.setattr(m.np, "bitwise_count", lambda v: compared.append(len(v)) or count(v))
+    every = np.ones(n, dtype=bool)
+    got = [p for a, b in m._cell(col, every, every, True, m.AGREED, m.SHARE) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    meetings = sum(k * (k - 1) // 2 for k in np.bincount(pattern).tolist())
+    assert got == [(0, images - 1)]
+    assert 0 < sum(compared) < 0.1 * meetings
